@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +77,15 @@ def split_by(key: np.ndarray, buckets: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(of[order], np.arange(1, buckets)))
 
 
-def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]]) -> DataFrame:
+def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]], extra: bool = False) -> DataFrame:
     """First step: every group sends (bucket, payload) rows."""
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
         return sent(g, step(g, Group(table)))
 
-    return dealt.docs.select("g", "doc_id", "text").groupBy("g").applyInArrow(run, SENT)
+    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "text")
+    return docs.groupBy("g").applyInArrow(run, SENT)
 
 
 def answer(asked: DataFrame, step: Callable[[np.ndarray, list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
@@ -104,8 +106,6 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
     """A further step: every group again, with the answers by bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return None
         got: dict[int, list[bytes]] = {}
         for b, p in zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             got.setdefault(b, []).append(p)
@@ -114,3 +114,17 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
 
     docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "text")
     return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int = 2 << 20) -> Iterable[pa.Table]:
+    """Arrow batches cut into tables of about ``most`` bytes of text, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right"))
+            until = min(max(until, at + 1), batch.num_rows)
+            yield pa.Table.from_batches([batch.slice(at, until - at)])
+            at = until
