@@ -30,7 +30,7 @@ from .shared import cut
 from .token_counts import load
 
 LENGTH = 2048
-_KEPT = 1 << 18
+_KEPT = 1 << 19
 
 
 class WordIds:
