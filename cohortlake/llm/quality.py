@@ -57,7 +57,8 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
         (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("bigint").alias("n_dup_lines"),
         F.when(c("at").isNotNull(), F.aggregate(gaps, F.lit(window), lambda acc, g: acc + g)).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
-    return out.select(*[F.col(f"`{x}`") for x in docs.columns if x != "stats"], stats.alias("stats"))
+    # one row each; a filter on the counts then stays above and does not copy the arrays into its condition
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns if x != "stats"], F.explode(F.array(stats)).alias("stats"))
 
 
 @dataclass(frozen=True)
