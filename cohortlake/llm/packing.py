@@ -17,7 +17,10 @@ repeated rows are packed like all others; no rows give no sequences.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +33,21 @@ from .shared import cut
 from .token_counts import load
 
 LENGTH = 2048
-_KEPT = 1 << 19
+_KEPT = 1 << 20
 
 
 class WordIds:
-    """Ids of texts through a table of the units between spaces; rebuilt when it is full."""
+    """Ids of texts through a table of the units between spaces; rebuilt when it is full.
 
-    def __init__(self, tokenizer, kind: np.dtype):
-        self.tokenizer, self.kind, self.known = tokenizer, kind, {}
+    Lower case is part of the model's rules for every character alone, as
+    Python has it but for a final sigma; special strings are matched before it.
+    """
+
+    def __init__(self, tokenizer, code: str, lower: bool):
+        self.tokenizer, self.code, self.lower, self.known = tokenizer, code, lower, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [(t.lower() if self.lower and "<" not in t and "Σ" not in t else t).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if len(self.known) + len(new) > _KEPT:
             self.known = {}
@@ -48,11 +55,18 @@ class WordIds:
         if new:
             units = list(new)
             encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-            self.known.update(zip(units, (np.array(e.ids, self.kind).tobytes() for e in encoded), strict=True))
+            self.known.update(zip(units, (array(self.code, e.ids).tobytes() for e in encoded), strict=True))
         known = self.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def _word_ids(model: bytes, code: str) -> WordIds:
+    """One table a process, kept from task to task."""
+    lower = any(n.get("type") == "Lowercase" for n in ((json.loads(model).get("normalizer") or {}).get("normalizers") or []))
+    return WordIds(load(model), code, lower)
+
+
 def pack_sequences(docs: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     with open(model_path, "rb") as file:
@@ -62,11 +76,11 @@ def pack_sequences(docs: DataFrame, model_path: str, end_id: int, id_col: str =
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         tokenizer = load(model.value)
-        kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        ids, end = WordIds(tokenizer, kind), np.array([end_id], kind).tobytes()
+        code = "H" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
+        ids, end, width = _word_ids(model.value, code), array(code, [end_id]).tobytes(), array(code).itemsize
         for table in exchange.pieces(batches):
             rows = [x + end for x in ids([t or "" for t in table.column("text").to_pylist()])]
-            n = np.array([len(x) // kind.itemsize for x in rows], np.int64)
+            n = np.array([len(x) // width for x in rows], np.int64)
             at = before + np.cumsum(n) - n
             before += int(n.sum())
             yield pa.table({"part": pa.array(np.full(len(n), part, np.int32)), "before": at, "doc_id": table.column("doc_id"), "doc_tokens": n, "ids": pa.array(rows, pa.binary())}).combine_chunks().to_batches()[0]

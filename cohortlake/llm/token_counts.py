@@ -81,6 +81,12 @@ class UnitCounts:
         return out
 
 
+@lru_cache(maxsize=1)
+def _units(model: bytes) -> UnitCounts:
+    """One table a process, kept from task to task."""
+    return UnitCounts(load(model))
+
+
 _ODD = re.compile(r"[^\S \n]").search
 _KEPT = 1 << 19
 
@@ -127,8 +133,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         model = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tokenizer = load(model.value)
-        units = UnitCounts(tokenizer)
+        tokenizer, units = load(model.value), _units(model.value)
         for table in exchange.pieces(batches):
             texts = [t or "" for t in table.column("text").to_pylist()]
             short = [t for t in texts if len(t) <= chunk]
