@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import cohort_queries, region_queries, report_queries, score_queries
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+QUERIES = {k: v[0] for m in (score_queries, cohort_queries, region_queries, report_queries) for k, v in m.ALL.items()}
+SQL = {k: v[1] for m in (score_queries, cohort_queries, region_queries, report_queries) for k, v in m.ALL.items() if v[1]}
