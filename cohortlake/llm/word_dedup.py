@@ -104,9 +104,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = dealt.buckets
 
     def again(g: int, group: Group, got: dict[int, list[bytes]]) -> pa.Table:
-        words = Words(group)
-        at, h = _candidates(words, hs := words.hashes(), window, block, n, {b: p[0] for b, p in got.items()}) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        del hs
+        at, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if got:
+            words = Words(group)
+            at, h = _candidates(words, words.hashes(), window, block, n, {b: p[0] for b, p in got.items()})
         return exchange.sent(g, repeats.send_windows(h, at, n, ((b, pack(np.array([b], np.int64), np.frombuffer(p[0], np.uint8))) for b, p in got.items())))
 
     fields = docs.select(*keep_columns).schema if keep_columns else None
