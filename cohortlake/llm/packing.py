@@ -34,6 +34,7 @@ from .token_counts import load
 
 LENGTH = 2048
 _KEPT = 1 << 20
+_TAILS = {".", ","}
 
 
 class WordIds:
@@ -52,10 +53,13 @@ class WordIds:
         if len(self.known) + len(new) > _KEPT:
             self.known = {}
             new = set().union(*split)
-        if new:
-            units = list(new)
+        # letters before a full stop or comma are a word of their own by the splitter's rules
+        tails = [u for u in new if u[-1:] in _TAILS and u[:-1].isalpha()]
+        units = list((new.difference(tails) | {u[:-1] for u in tails} | {"."} | {","}).difference(self.known))
+        if units:
             encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
             self.known.update(zip(units, (array(self.code, e.ids).tobytes() for e in encoded), strict=True))
+        self.known.update((u, self.known[u[:-1]] + self.known[u[-1]]) for u in tails)
         known = self.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
 
