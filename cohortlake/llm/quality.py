@@ -1,17 +1,20 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a condition that rejects a text. On a sample its cost is the time
-that its expression takes, its selectivity the share it rejects; the rules are
-then ordered by rejection per cost and become one CASE, which stops at the first
-that rejects. The order changes what is computed, never the verdict.
+that it takes from the raw text, its selectivity the share it rejects; the rules
+are then ordered by rejection per cost and become one CASE, which stops at the
+first that rejects. A text that an earlier rule rejects does not have its windows
+hashed, the dear part. The order changes what is computed, never the verdict.
 
 Defined results: a null text has no words, like an empty one; it fails the rule
-of least words. Ids, ties and other columns play no part.
+of least words. Ids, ties and other columns play no part; a column of the name
+of a result gives way to it.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +24,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SAMPLE = 2000
+Condition = Callable[[Callable[[str], Column]], Column]
 
 
 def words(text: Column) -> Column:
@@ -28,19 +32,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, SPACES[1:], " " * 5), " "), lambda w: w != "")
 
 
-def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows with a struct ``stats``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+def _stages(docs: DataFrame, text_col: str, window: int = WINDOW, unless: Condition | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with what the counts are made of, and the counts by name.
 
     Needs no shuffle: all is counted within the row. Each step names what later
-    steps read more than once, so arrays are made once a row.
+    steps read more than once, so arrays are made once a row. Windows are hashed
+    only where ``unless``, over the other counts, is not true; the count of
+    repeated words is null elsewhere.
     """
     c = lambda x: F.col(f"__quality_{x}")
     add = lambda df, **new: df.withColumns({f"__quality_{k}": v for k, v in new.items()})
     most = lambda x: F.greatest(x, F.lit(0))
-    out = add(docs, text=F.coalesce(F.col(text_col), F.lit("")))
+    out = add(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     out = add(out, words=words(c("text")), lines=F.filter(F.split(c("text"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    counts = {
+        "n_words": F.size(c("words")),
+        "word_chars": F.length(F.translate(c("text"), SPACES, "")),
+        "n_symbols": F.length(c("text")) - F.length(F.translate(c("text"), SYMBOLS, "")),
+        "n_lines": F.size(c("lines")),
+        "n_dup_lines": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
+    }
+    counts = {k: v.cast("bigint") for k, v in counts.items()}
+    asked = F.lit(True)
+    if unless is not None:
+        out, asked = add(out, asked=~F.coalesce(unless(counts.__getitem__), F.lit(False))), c("asked")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c("words")) - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(c("words"), i, window)))
-    out = add(out, grams=F.when(F.size(c("words")) >= window, grams).otherwise(F.array().cast("array<bigint>")))
+    out = add(out, grams=F.when(asked & (F.size(c("words")) >= window), grams).otherwise(F.array().cast("array<bigint>")))
     # only a text with a repeated window sorts its windows; equal neighbours give the places
     twice = F.size(F.array_distinct(c("grams"))) < F.size(c("grams"))
     out = add(out, sorted=F.when(twice, F.sort_array(F.transform(c("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -49,73 +66,83 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Da
     out = add(out, at=F.when(c("sorted").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
     k = most(F.size(c("at")) - 1)
     gaps = F.zip_with(F.slice(c("at"), 1, k), F.slice(c("at"), 2, k), lambda a, b: F.least(b - a, F.lit(window)))
-    stats = F.struct(
-        F.size(c("words")).cast("bigint").alias("n_words"),
-        F.length(F.translate(c("text"), SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length(c("text")) - F.length(F.translate(c("text"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        F.size(c("lines")).cast("bigint").alias("n_lines"),
-        (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("bigint").alias("n_dup_lines"),
-        F.when(c("at").isNotNull(), F.aggregate(gaps, F.lit(window), lambda acc, g: acc + g)).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
-    )
+    repeated = F.when(c("at").isNotNull(), F.aggregate(gaps, F.lit(window), lambda acc, g: acc + g)).otherwise(F.lit(0)).cast("bigint")
+    return out, counts | {"n_repeat_words": repeated if unless is None else F.when(asked, repeated)}
+
+
+def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unless: Condition | None = None) -> DataFrame:
+    """The rows with a struct ``stats``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (null where ``unless`` is true)."""
+    out, counts = _stages(docs, text_col, window, unless)
     # one row each; a filter on the counts then stays above and does not copy the arrays into its condition
-    return out.select(*[F.col(f"`{x}`") for x in docs.columns if x != "stats"], F.explode(F.array(stats)).alias("stats"))
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns if x != "stats"], F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()]))).alias("stats"))
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` makes the condition from what gives a count by its name."""
+
     name: str
-    rejects: Column
+    rejects: Condition
+    reads_windows: bool = False
 
 
-def rules(s: str = "stats") -> list[Rule]:
-    """The rules over measured counts, in whole numbers."""
-    c = lambda x: F.col(f"{s}.{x}")
+def rules() -> list[Rule]:
+    """The rules over counts, in whole numbers."""
     return [
-        Rule("few_words", c("n_words") < 20),
-        Rule("repeated_words", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        Rule("repeated_lines", 100 * c("n_dup_lines") > 30 * c("n_lines")),
-        Rule("symbols", 10 * c("n_symbols") > c("n_words")),
-        Rule("short_words", c("word_chars") < 2 * c("n_words")),
-        Rule("long_words", c("word_chars") > 20 * c("n_words")),
+        Rule("few_words", lambda c: c("n_words") < 20),
+        Rule("repeated_words", lambda c: 100 * c("n_repeat_words") > 30 * c("n_words"), reads_windows=True),
+        Rule("repeated_lines", lambda c: 100 * c("n_dup_lines") > 30 * c("n_lines")),
+        Rule("symbols", lambda c: 10 * c("n_symbols") > c("n_words")),
+        Rule("short_words", lambda c: c("word_chars") < 2 * c("n_words")),
+        Rule("long_words", lambda c: c("word_chars") > 20 * c("n_words")),
     ]
 
 
-def order_rules(sample: DataFrame, chosen: list[Rule]) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds) by rejection per cost, best first; one short job a rule on a cached sample."""
-    sample = sample.persist()
-    try:
-        n = sample.count()
-        out = []
-        for rule in chosen:
-            began = time.perf_counter()
-            hit = sample.agg(F.count_if(rule.rejects)).first()[0]
-            out.append((rule, hit / n if n else 0.0, time.perf_counter() - began))
-    finally:
-        sample.unpersist()
+def order_rules(docs: DataFrame, chosen: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE) -> list[tuple[Rule, float, float]]:
+    """(rule, share rejected, seconds) by rejection per cost, best first.
+
+    A rule is timed from the raw text on the first ``sample_rows`` rows: a limit
+    that is collected reads the first partitions only, as many as it needs, and
+    gives one boolean a row. The first job, not timed, warms the scan.
+    """
+    sample, counts = _stages(docs.select(F.col(f"`{text_col}`")), text_col)
+    run = lambda c: sample.select(F.coalesce(c, F.lit(False)).alias("hit")).limit(sample_rows).collect()
+    run(counts["n_words"] > 0)
+    out = []
+    for rule in chosen:
+        began = time.perf_counter()
+        hits = [r.hit for r in run(rule.rejects(counts.__getitem__))]
+        out.append((rule, sum(hits) / len(hits) if hits else 0.0, time.perf_counter() - began))
     return sorted(out, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
-def cascade(ordered: list[Rule]) -> Column:
+def cascade(ordered: list[Rule], count: Callable[[str], Column]) -> Column:
     """The name of the first rule that rejects, null if none does."""
     out = F
     for rule in ordered:
-        out = out.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
+        out = out.when(F.coalesce(rule.rejects(count), F.lit(False)), F.lit(rule.name))
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", chosen: list[Rule] | None = None, sample_rows: int = SAMPLE) -> DataFrame:
-    """The rows with ``stats`` and ``rejected_by``, the name of a rule that rejects them or null.
+def apply_rules(docs: DataFrame, text_col: str = "text", chosen: list[Rule] | None = None, sample_rows: int = SAMPLE, verdict_col: str = "rejected_by", with_stats: bool = False) -> DataFrame:
+    """The rows with ``verdict_col``, the name of a rule that rejects them or null.
 
-    Costs and selectivities are estimated on ``sample_rows`` rows; the rules see every row.
+    Costs and selectivities are estimated on ``sample_rows`` rows; the rules see
+    every row, but windows are hashed only for texts that no rule before those
+    that read them rejects. ``with_stats`` adds all counts of every row, as
+    ``measure`` gives them.
     """
-    measured = measure(docs, text_col)
-    ordered = order_rules(measured.select("stats").limit(sample_rows), chosen or rules())
-    return measured.withColumn("rejected_by", cascade([r for r, _, _ in ordered]))
+    ordered = [r for r, _, _ in order_rules(docs, chosen or rules(), text_col, sample_rows)]
+    nth = next((i for i, r in enumerate(ordered) if r.reads_windows), len(ordered))
+    unless = None if with_stats or not nth else lambda c: cascade(ordered[:nth], c).isNotNull()
+    measured = measure(docs.withColumnRenamed("stats", "__stats"), text_col, unless=unless)
+    out = measured.withColumn(verdict_col, cascade(ordered, lambda x: F.col(f"stats.{x}")))
+    return out.drop("__stats") if with_stats else out.drop("stats").withColumnRenamed("__stats", "stats")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict for every text of ``documents``."""
-    out = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_stats=True)
     s = lambda x: F.col(f"stats.{x}")
     base = (s("n_words") < 20) | (100 * s("n_repeat_words") > 30 * s("n_words"))
     return out.select("doc_id", s("n_words").alias("n_words"), s("word_chars").alias("word_chars"), s("n_symbols").alias("n_symbols"), s("n_dup_lines").alias("n_dup_lines"), s("n_repeat_words").alias("n_repeat_words"), base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"))

@@ -175,7 +175,7 @@ def repeat_words(ws):
 
 
 def test_quality(docs):
-    out = quality.apply_rules(docs)
+    out = quality.apply_rules(docs, with_stats=True)
     assert out.columns == [*[c for c in docs.columns if c != "stats"], "stats", "rejected_by"]
     for r in out.collect():
         ws = WORDS(r.text or "")
@@ -185,10 +185,19 @@ def test_quality(docs):
 
 
 def test_cascade_order_never_changes_the_verdict(docs):
-    m = quality.measure(docs)
-    rules = quality.rules()
-    a = {r.doc_id: r.x is None for r in m.select("doc_id", quality.cascade(rules).alias("x")).collect()}
-    assert a == {r.doc_id: r.x is None for r in m.select("doc_id", quality.cascade(rules[::-1]).alias("x")).collect()}
+    m, rules = quality.measure(docs), quality.rules()
+    verdicts = lambda r: {x.doc_id: x.x is None for x in m.select("doc_id", quality.cascade(r, lambda c: F.col(f"stats.{c}")).alias("x")).collect()}
+    kept = verdicts(rules)
+    assert kept == verdicts(rules[::-1]) and len(set(kept.values())) == 2
+    lazy = quality.apply_rules(docs.withColumn("rejected_by", F.lit("mine")), verdict_col="__why")
+    assert {r.doc_id: r["__why"] is None for r in lazy.collect()} == kept
+    assert lazy.columns == [*docs.columns, "rejected_by", "__why"]
+
+
+def test_rule_order_follows_rejection_per_cost(docs):
+    ordered = quality.order_rules(docs, quality.rules(), sample_rows=20)
+    value = [share / seconds for _, share, seconds in ordered]
+    assert value == sorted(value, reverse=True) and all(0 <= share <= 1 < share + seconds + 1 for _, share, seconds in ordered)
 
 
 def test_marginals():
