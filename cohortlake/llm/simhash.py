@@ -5,9 +5,9 @@ node. Nodes within ``radius`` differing bits agree in ``blocks - radius`` of
 ``blocks`` bit blocks at least, so each combination of blocks deals all nodes
 to shards by its bits, and no link is lost. A shard's nodes form a BK-tree:
 children keyed by the Hamming distance to the parent, searched along the edges
-within the radius. Only a node that no search has found yet is still to be
-found, so a shard of many near copies costs about as much as it has nodes, and
-each node gives back one link. Trees are built where their shard is, not
+within the radius. While a shard asks for one component, only a node that no
+search has found yet is still to be found, so a shard of many near copies costs
+about as much as it has nodes, and each node gives back one link. Trees are built where their shard is, not
 broadcast, for the trees of all fingerprints grow with the corpus.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
@@ -138,33 +138,57 @@ class Forest:
             items = items[items >= 0]
 
 
-def shard_links(shard: np.ndarray, value: np.ndarray, radius: int, at_once: int = 128) -> np.ndarray:
-    """For each item the least index of its links' component within its shard."""
+def shard_links(shard: np.ndarray, value: np.ndarray, radius: int, at_once: int = 128, few: int = 16) -> np.ndarray:
+    """For each item the least index of its links' component within its shard.
+
+    An item found by one component must stay to be found by the others: it
+    leaves the live set unasked only while its shard asks for that component
+    alone. New items are asked when none of these is left, and what they find
+    stays live: a component of more than ``few`` such items gets its turn next,
+    the items of lesser ones are asked as new.
+    """
     forest, n = Forest(shard, value), len(value)
     label = np.arange(n)
-    asked, known = np.zeros(n, bool), np.zeros(n, bool)
+    asked, known, met = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    busy = np.zeros(n, bool)  # by root: the shard has known items to ask
     waiting = np.arange(n)
     while len(waiting):
-        # found items first, then new ones; some of each shard at a time
-        order = waiting[np.lexsort((~known[waiting], forest.root[waiting]))]
+        busy[forest.root[waiting]] = False
+        busy[forest.root[waiting[known[waiting]]]] = True
+        open_ = waiting[met[waiting] & ~known[waiting]]
+        open_ = open_[~busy[forest.root[open_]]]
+        if len(open_):
+            # the largest component among the found items of each shard without known ones
+            _, of, size = np.unique(label[open_], return_inverse=True, return_counts=True)
+            order = np.lexsort((label[open_], -size[of], forest.root[open_]))
+            root = forest.root[open_][order]
+            begin = np.concatenate(([True], root[1:] != root[:-1]))
+            lead = label[open_][order][begin][np.cumsum(begin) - 1]
+            chosen = open_[order][(label[open_][order] == lead) & (size[of][order] > few)]
+            known[chosen] = True
+            busy[forest.root[chosen]] = True
+            forest.remove(chosen)
+        # known items alone, or else new ones, those met before first; some of each shard at a time
+        able = waiting[known[waiting] | ~busy[forest.root[waiting]]]
+        order = able[np.lexsort((~met[able], forest.root[able]))]
         root = forest.root[order]
         begin = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
         rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
         query = order[rank < at_once]
         asked[query] = True
         q, x = forest.search(query, radius)
-        gone = np.unique(np.concatenate((x, query[forest.live[query]])))
-        gone = gone[forest.live[gone]]
-        known[gone] = True
-        forest.remove(gone)
+        met[x] = True
+        found = np.unique(x[known[q]])
+        known[found] = True
+        forest.remove(np.concatenate((found, query[forest.live[query]])))
         while len(q):
             low = np.minimum(label[q], label[x])
             np.minimum.at(label, label[q], low)
             np.minimum.at(label, label[x], low)
             while (label[label] != label).any():
                 label = label[label]
-            open_ = label[q] != label[x]
-            q, x = q[open_], x[open_]
+            apart = label[q] != label[x]
+            q, x = q[apart], x[apart]
         waiting = waiting[~asked[waiting]]
     return label
 

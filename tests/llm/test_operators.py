@@ -111,6 +111,40 @@ def test_bk_forest_loses_no_link(n):
             assert label[i] == label[j]
 
 
+def bridged(clusters, size, rng):
+    """Pairs of clusters that only a bridge of two of their outer items joins, and a chain."""
+    out = []
+    for _ in range(clusters):
+        centre = int(rng.integers(0, 1 << 62))
+        left, right = centre, centre ^ 0xFFF  # 12 bits: 4 from a centre to its outer item, 4 between these
+        out += [left, right, left ^ 0xF, right ^ 0xF00]
+        for c in (left, right):
+            high = rng.integers(12, 62, (size, 2))
+            out += [c ^ (1 << int(a)) ^ (1 << int(b)) for a, b in high]
+    step = int(rng.integers(0, 1 << 62))
+    for i in range(0, 60, 4):
+        step ^= 0xF << i
+        out.append(step)
+    value = np.unique(np.array(out, np.uint64))
+    return value
+
+
+@pytest.mark.parametrize(("clusters", "size", "at_once"), [(1, 1, 2), (3, 100, 128), (60, 3, 128), (20, 30, 128), (2, 20, 3)])
+def test_bridges_between_found_items_hold(clusters, size, at_once):
+    for seed in range(6):
+        value = bridged(clusters, size, np.random.default_rng(seed))
+        n = len(value)
+        near = np.bitwise_count(value[:, None] ^ value[None, :]) <= 4
+        want = np.arange(n)
+        while (low := np.where(near, want[None, :], n).min(axis=1)).tolist() != want.tolist():
+            want = low
+        for shuffled in (np.arange(n), np.random.default_rng(seed).permutation(n)):
+            label = simhash.shard_links(np.zeros(n, np.int64), value[shuffled], 4, at_once)
+            of = np.empty(n, np.int64)
+            of[shuffled] = label
+            assert len(set(zip(of.tolist(), want.tolist(), strict=True))) == len(set(want.tolist())) == len(set(of.tolist()))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 40), (None, 2)], "a bigint, b bigint")
     got = {r.node: r.label for r in connected_components(e).collect()}
