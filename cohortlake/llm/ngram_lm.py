@@ -3,10 +3,12 @@
 Counts of n-grams over all training texts are quantised to powers of two, and
 an n-gram of count c enters the filter once for each level 1 .. floor(log2 c)+1.
 A lookup probes level after level until one is missing. The filter is cut into
-segments by fingerprint; a task makes one segment from all counts of its
-n-grams, so the whole has the fixed size ``filter_bits`` whatever the corpus,
-and can be broadcast. A segment that would fill over one half leaves out the
-rarest counts. Unigram counts stay exact: they come by the packed exchange.
+segments by fingerprint, which are never broadcast: by the packed exchange every
+group sends its distinct n-grams to their segment's task, which makes the
+segment from all counts, at ``BITS`` bits an entry however many there are,
+probes it for the same n-grams and sends the levels back. No count is left out,
+and false positives have one rate at every size, (1 - exp(-3 / 16))**3 or about
+0.5 percent. Unigram counts go the same way and stay exact.
 
 P(w | context) is backoff_keep * count(context w) / count(context) where the
 filter holds the n-gram, else (1 - backoff_keep) * P1(w), with
@@ -31,8 +33,8 @@ from .packed import U64, Group, Words, mix, pack, unpack
 
 END, START = U64(0x5BD1E995A3C59AC3), U64(0x1B873593CC9E2D51)
 HASHES = 3
-FILTER_BITS = 1 << 27
-_RUN = 1 << 20
+BITS = 16  # of the filter for an entry
+FILTER_BITS = 1 << 20  # of the whole filter at least
 
 
 def tokens(group: Group) -> tuple[np.ndarray, np.ndarray]:
@@ -73,16 +75,11 @@ def _bits(key: np.ndarray, level: int, size: int) -> Iterable[np.ndarray]:
 
 
 def make_segment(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Filter bits of distinct n-grams; the rarest counts stay out where over half would be set."""
+    """Filter bits of all levels of distinct n-grams."""
     level = _levels(counts)
-    least = np.sort(np.unique(counts))
-    room = int(size * np.log(2) / HASHES)
-    load = np.array([level[counts >= c].sum() for c in least[:64]])
-    fit = np.flatnonzero(load <= room)
-    keep = counts >= (least[fit[0]] if len(fit) else least[min(63, len(least) - 1)])
     flags = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        for at in _bits(keys[keep & (level >= j)], j, size):
+        for at in _bits(keys[level >= j], j, size):
             flags[at] = 1
     return np.packbits(flags)
 
@@ -91,7 +88,7 @@ def find_counts(filters: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     """Quantised counts by repeated probes; 0 for absent n-grams. filters: a row of bytes for each segment."""
     count = np.zeros(len(key), np.int64)
     segment = (key % U64(len(filters))).astype(np.int64)
-    low = (key // U64(len(filters))) & U64(0xFFFFFFFF)
+    low = key // U64(len(filters))
     live, level = np.arange(len(key)), 1
     while len(live):
         ok = np.ones(len(live), bool)
@@ -103,110 +100,73 @@ def find_counts(filters: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     return count
 
 
-def build_filter(docs: DataFrame, text_col: str = "text", order: int = 2, filter_bits: int = FILTER_BITS) -> np.ndarray:
-    """The filter of all n-grams of 2 .. order tokens in all texts: one row of bytes for each segment.
-
-    The driver gets filter_bits / 8 bytes, no more.
-    """
-    segments = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    size = -(-filter_bits // segments // 8) * 8
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for table in exchange.pieces(batches):
-            group = Group(table.append_column("doc_id", pa.nulls(table.num_rows, pa.int64())))
-            token, doc = tokens(group)
-            held += [_gram(c, token) for c in contexts(token, doc, order)]
-            if sum(map(len, held)) >= _RUN:
-                yield from send(held)
-                held = []
-        if held:
-            yield from send(held)
-
-    def send(held: list[np.ndarray]) -> Iterable[pa.RecordBatch]:
-        key, times = np.unique(np.concatenate(held), return_counts=True)
-        rows = []
-        for b, idx in enumerate(exchange.split_by(key, segments)):
-            if len(idx):
-                own, many = times[idx], np.flatnonzero(times[idx] > 1)
-                rows.append((b, pack((key[idx] // U64(segments)).astype(np.uint32), many.astype(np.uint32), own[many].astype(np.uint32))))
-        yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
-
-    def segment(table: pa.Table) -> pa.Table:
-        keys, times = [], []
-        for raw in table.column("payload").to_pylist():
-            low, many, of = unpack(raw)
-            own = np.ones(len(low), np.int64)
-            own[many] = of
-            keys.append(low)
-            times.append(own)
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate(times)).astype(np.int64)
-        bits = make_segment(key.astype(np.uint64), counts, size)
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = np.zeros((segments, size // 8), np.uint8)
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, payload binary")
-    for b, bits in packed.groupBy("bucket").applyInArrow(segment, "bucket int, bits binary").toLocalIterator():
-        out[b] = np.frombuffer(bits, np.uint8)
-    return out
+def found_levels(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """For distinct n-grams with their counts, 0 too, the level that their segment's filter gives."""
+    held = counts > 0
+    size = -(-max(least, BITS * int(_levels(counts[held]).sum())) // 8) * 8
+    filters = make_segment(keys[held], counts[held], size).reshape(1, -1)
+    count = find_counts(filters, size, keys)
+    return np.where(count > 0, _levels(np.maximum(count, 1)), 0).astype(np.uint8)
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, filter_bits: int = FILTER_BITS, backoff_keep: float = 0.4, group_bytes: int = 2 << 20) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, n_ngrams (found in the filter), train_tokens, train_types, base_score, score."""
     if order < 2 or not 0 < backoff_keep < 1:
         raise ValueError("order must be 2 or more, backoff_keep between 0 and 1")
-    spark = docs.sparkSession
     flagged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    filters = build_filter(flagged.filter("train"), "text", order, filter_bits)
-    size = filters.shape[1] * 8
-    shared = spark.sparkContext.broadcast(filters)
     dealt = exchange.deal(flagged, "doc_id", "text", ["train"], group_bytes)
     n = dealt.buckets
 
     def distinct(group: Group):
         token, doc = tokens(group)
         trains = group.rows.column("extra").combine_chunks().field("train").to_numpy(zero_copy_only=False).astype(bool) if group.n else np.zeros(0, bool)
-        grams = contexts(token, doc, order)
-        key, inverse = np.unique(token, return_inverse=True)
-        counts = np.bincount(inverse, weights=trains[doc], minlength=len(key)).astype(np.int64)
-        return token, doc, grams, key, inverse, counts
+        grams = np.concatenate([_gram(c, token) for c in contexts(token, doc, order)])
+        out = []
+        for x, of in ((token, doc), (grams, np.tile(doc, order - 1))):
+            key, inverse = np.unique(x, return_inverse=True)
+            out += [key, inverse, np.bincount(inverse, weights=trains[of], minlength=len(key)).astype(np.int64)]
+        return token, doc, *out
 
     def ask(g: int, group: Group):
-        *_, key, _, counts = distinct(group)
-        for b, idx in enumerate(exchange.split_by(key, n)):
-            if len(idx):
-                yield b, pack(key[idx], counts[idx].astype(np.uint32))
+        _, _, key, _, counts, gram, _, times = distinct(group)
+        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), exchange.split_by(gram, n), strict=True)):
+            if len(idx) or len(of):
+                other = np.flatnonzero(times[of] != 1)
+                yield b, pack(key[idx], counts[idx].astype(np.uint32), gram[of], other.astype(np.uint32), times[of][other].astype(np.uint32))
 
     def total(table: pa.Table) -> pa.Table:
         gs, parts = table.column("g").to_numpy(), [unpack(p) for p in table.column("payload").to_pylist()]
         key = np.concatenate([p[0] for p in parts])
         _, inverse = np.unique(key, return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        told, at = [], 0
+        gram, place = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        each = np.ones(len(place), np.int64)
+        each[np.concatenate([p[3].astype(np.int64) + first for p, first in zip(parts, np.cumsum([0] + [len(p[2]) for p in parts])[:-1], strict=True)])] = np.concatenate([p[4] for p in parts])
+        levels = found_levels(gram, np.bincount(place, weights=each, minlength=len(gram)).astype(np.int64), filter_bits // n)
+        told, at, by = [], 0, 0
         for p in parts:
-            told.append(pack(counts[inverse[at : at + len(p[0])]]))
-            at += len(p[0])
+            told.append(pack(counts[inverse[at : at + len(p[0])]], levels[place[by : by + len(p[2])]]))
+            at, by = at + len(p[0]), by + len(p[2])
         b = table.column("bucket")[0].as_py()
         rows = len(gs)
         own = {"g": pa.array([*gs.tolist(), -1], pa.int32()), "bucket": pa.array([b] * (rows + 1), pa.int32()), "payload": pa.array([*told, b""], pa.binary())}
         return pa.table(own | {"tokens": pa.array([0] * rows + [int(counts.sum())], pa.int64()), "types": pa.array([0] * rows + [int((counts > 0).sum())], pa.int64())})
 
     def last(g: int, group: Group, got: dict[int, list[bytes]]) -> pa.Table:
-        token, doc, grams, key, inverse, _ = distinct(group)
-        counts = np.zeros(len(key), np.int64)
-        for b, idx in enumerate(exchange.split_by(key, n)):
-            if len(idx):
-                counts[idx] = unpack(got[b][0])[0]
+        token, doc, key, inverse, _, gram, place, _ = distinct(group)
+        counts, level = np.zeros(len(key), np.int64), np.zeros(len(gram), np.int64)
+        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), exchange.split_by(gram, n), strict=True)):
+            if len(idx) or len(of):
+                counts[idx], level[of] = unpack(got[b][0])
         own = counts[inverse]
+        known = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)[place].reshape(order - 1, len(token))
         logs = np.log10(own + 1.0)
         # of the longest context that the filter knows with this token
         hit, value = np.zeros(len(token), bool), np.zeros(len(token))
         for c in range(order - 2, -1, -1):
-            times = find_counts(shared.value, size, _gram(grams[c], token))
+            times = known[c]
             if c:
-                shorter = np.roll(grams[c - 1], 1)  # the context as an n-gram: its last token after its own context
-                before = find_counts(shared.value, size, _gram(shorter, np.roll(token, 1)))
+                before = np.roll(known[c - 1], 1)  # the context as an n-gram: its last token after its own context
                 before[np.diff(doc, prepend=-1) > 0] = 0
             else:
                 before = np.zeros(len(token), np.int64)

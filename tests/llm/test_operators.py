@@ -291,6 +291,33 @@ def test_language_model(docs):
         assert r.base_score == pytest.approx(sum(log10((c[x] + 1) / (n + v + 1)) for x in ts)) and r.score < 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_keeps_rare_counts_of_large_corpora(spark, order):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 900))) for i in range(60)]
+    seen = [Counter() for _ in range(order + 1)]
+    for _, t in rows:
+        ts = [*t.split(), None]
+        for k in range(1, order + 1):
+            seen[k].update(tuple(ts[i - k + 1 : i + 1]) for i in range(k - 1, len(ts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    quantised = lambda c: 1 << (c.bit_length() - 1)
+    n, v = sum(seen[1].values()), len(seen[1])
+    off = []
+    for r in ngram_lm.score_texts(docs, F.lit(True), order=order, filter_bits=1 << 12, group_bytes=1 << 15).collect():
+        ts, want = [*rows[r.doc_id][1].split(), None], 0.0
+        for i, x in enumerate(ts):
+            k = min(i + 1, order)
+            if k == 1:
+                want += log10(0.6 * (seen[1][(x,)] + 1) / (n + v + 1))
+            else:
+                context = seen[k - 1][tuple(ts[i - k + 1 : i])]
+                want += log10(0.4 * min(1, quantised(seen[k][tuple(ts[i - k + 1 : i + 1])]) / (context if k == 2 else quantised(context))))
+        assert r.n_ngrams == len(ts) - 1
+        off.append(abs(r.score - want) / len(ts))
+    assert max(off) < 0.01  # false positives overstate a few counts
+
+
 def test_filter_probes():
     keys, counts = np.arange(500, dtype=np.uint64), np.arange(1, 501)
     bits = ngram_lm.make_segment(keys, counts, 1 << 16).reshape(1, -1)
