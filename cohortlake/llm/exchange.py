@@ -1,12 +1,16 @@
 """Corpus-wide questions about fingerprints, asked in packed form.
 
 Documents are dealt into groups by ranges of their id, so (group, place in the
-group) orders all documents. A task turns its group into arrays, removes what
+group) orders all documents; rows that share an id are ordered by a hash of
+their text. A task turns its group into arrays, removes what
 repeats inside the group, and sends one packed row per (bucket, group), where
 the bucket comes from the fingerprint. A bucket's task sees every group's
 entries once, answers each, and the answers go back by group. A fingerprint
 that a third of the corpus holds thus costs one entry per group, not one per
-occurrence, and no row count grows with the square of anything.
+occurrence. Groups and buckets grow in bytes with the root of the corpus, so
+their rows, groups times buckets, are in proportion to it up to 2 TB; beyond
+that groups have 16 MB and buckets 256 MB, what a task of a large cluster can
+hold, and rows only get shorter.
 
 The text is shuffled once: each step groups the same exchange by ``g``.
 """
@@ -20,11 +24,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, NumericType
 
 from .packed import Group
+from .shared import cut
 
+GROUP, BUCKET, FROM = 2 << 20, 16 << 20, 32 << 30  # bytes of text, up to a corpus of FROM bytes
+RANGES = 4096
 SENT = "bucket int, g int, payload binary"
 ANSWER = "g int, bucket int, payload binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("payload", pa.binary())])
@@ -33,36 +41,93 @@ _ANSWER = pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("payload", pa.b
 
 @dataclass(frozen=True)
 class Dealt:
-    """Documents with their group, and the number of buckets that suits their size."""
+    """Documents with their group, the number of buckets that suits their size, and their bytes."""
 
-    docs: DataFrame  # g, doc_id, text and, if asked for, extra
+    docs: DataFrame  # g, doc_id, h, text and, if asked for, extra
     groups: int
     buckets: int
+    size: int
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = (), group_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> Dealt:
-    """Deal documents into groups of about ``group_bytes`` by ranges of the id.
+def _fitting(size: int) -> tuple[int, int]:
+    """Bytes of text of a group and of a bucket: both grow with the root of the corpus, so that packed rows,
+    groups times buckets, grow with the corpus itself, up to what a task of a large cluster can hold."""
+    grown = max(1.0, (size / FROM) ** 0.5)
+    return int(GROUP * min(8.0, grown)), int(BUCKET * min(16.0, grown))
 
-    The bounds come from approximate quantiles of the id weighted by row, one
-    number a group on the driver. Null ids come first. Rows that share an id
-    share a group.
+
+def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """The documents and a number that orders them as their ids do, null for null ids.
+
+    Whole numbers under 2**53 and finite floats are their own; for all other ids
+    the distinct ones are range partitioned, sorted and numbered by Spark.
+    """
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, NumericType) and not isinstance(kind, DecimalType):
+        at = F.col(f"`{id_col}`").cast("double")
+        far = docs.agg(F.max(F.abs(at))).first()[0]
+        if far is None or far < (1 << 53 if isinstance(kind, IntegralType) else float("inf")):
+            return docs, at
+    ids = docs.select(F.col(f"`{id_col}`").alias("__id")).filter("__id is not null").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = cut(ids.repartitionByRange(parts, "__id").sortWithinPartitions("__id").withColumn("__rank", F.monotonically_increasing_id()))
+    return docs.join(ranks, F.col(f"`{id_col}`") == F.col("__id"), "left"), F.col("__rank").cast("double")
+
+
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = (), group_bytes: int | None = None, bucket_bytes: int | None = None) -> Dealt:
+    """Deal documents into groups of about ``group_bytes`` by ranges of (id, hash of the text).
+
+    At most ``RANGES`` bounds come from approximate quantiles of the id, rows
+    weighted by their bytes, whatever the corpus; a range is cut in further
+    groups evenly between its bounds. Null ids come first. An id that takes up
+    ranges of its own, as null or any other may, is cut by the hash of its
+    texts instead. Ids may be of any type that Spark can order.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
+    fitting = _fitting(size)
+    group_bytes, bucket_bytes = group_bytes or fitting[0], bucket_bytes or fitting[1]
     groups = max(1, parts if size > (parts << 16) else 1, -(-size // group_bytes))
     buckets = max(1, min(parts, groups), -(-size // bucket_bytes))
-    key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
-    chosen = docs.select(key.alias("at"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in extra]).alias("extra")] if extra else []))
-    cuts: list[float] = []
-    if groups > 1:
-        cuts = chosen.filter(F.col("at") > float("-inf")).approxQuantile("at", [i / groups for i in range(1, groups)], 0.1 / groups)
-    splits = [float("-inf"), *sorted({x for x in cuts if np.isfinite(x)}), float("inf")]
-    if len(splits) < 3:
-        dealt = chosen.withColumn("g", F.lit(0))
+    numbered, at = (docs, F.lit(0.0)) if groups == 1 else _numbered(docs, id_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    chosen = numbered.select(at.alias("at"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`").alias(c) for c in extra]).alias("extra")] if extra else []))
+    named = ["doc_id", "h", "text", *(["extra"] if extra else [])]
+    if groups == 1:
+        return Dealt(chosen.select(F.lit(0).alias("g"), *named), 1, buckets, size)
+    low, high = chosen.agg(F.min("at"), F.max("at")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    before = min(low - 1, float(np.nextafter(low, -np.inf)))  # of null ids
+    ranges = min(groups, RANGES)
+    each = -(-groups // ranges)
+    units = F.least(F.octet_length("text") * 64 / group_bytes, F.lit(64)).cast("int") + 1
+    weighted = chosen.select(F.coalesce("at", F.lit(before)).alias("at"), F.explode(F.array_repeat(F.lit(0), units)))
+    cuts = sorted(weighted.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.1 / ranges))
+    # the parts of the line: (start, end, first group, groups, cut by hash)
+    line, first = [], 0
+    bounds, many = np.unique(np.array(cuts), return_counts=True)
+    starts = [before, *bounds.tolist(), high]
+    for i, (a, z) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        hot = int(many[i - 1]) if i else 0
+        if hot > 1:  # the id ``a`` alone
+            line.append((a, a, first, hot * each, True))
+            first += hot * each
+            a = float(np.nextafter(a, np.inf))
+        line.append((a, max(a, z), first, each, False))
+        first += each
+    begin = [float("-inf"), *[x[0] for x in line[1:]], float("inf")]
+    keep = [0, *[i for i in range(1, len(line)) if begin[i] > begin[i - 1]]]
+    line, begin = [line[i] for i in keep], [begin[i] for i in keep] + [float("inf")]
+    placed = chosen.withColumn("at", F.coalesce("at", F.lit(before)))
+    if len(line) == 1:
+        placed = placed.withColumn("of", F.lit(0))
     else:
-        dealt = Bucketizer(splits=splits, inputCol="at", outputCol="of").transform(chosen).withColumn("g", F.col("of").cast("int")).drop("of")
-    return Dealt(dealt.select("g", *[c for c in ("doc_id", "text", "extra") if c in dealt.columns]), groups, int(buckets))
+        placed = Bucketizer(splits=begin, inputCol="at", outputCol="of").transform(placed).withColumn("of", F.col("of").cast("int"))
+    got = lambda k: F.element_at(F.lit([x[k] for x in line]), F.col("of") + 1)
+    place = F.when(got(4), (F.col("h") / 2.0**64 + 0.5) * got(3)).otherwise(F.when(got(1) > got(0), (F.col("at") - got(0)) / (got(1) - got(0)) * got(3)).otherwise(0.0))
+    g = got(2) + F.greatest(F.lit(0), F.least(got(3) - 1, F.floor(place).cast("int")))
+    return Dealt(placed.select(g.cast("int").alias("g"), *named), first, buckets, size)
 
 
 def sent(g: int, parts: Iterable[tuple[int, bytes]]) -> pa.Table:
@@ -84,7 +149,7 @@ def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]],
         g = table.column("g")[0].as_py()
         return sent(g, step(g, Group(table)))
 
-    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "text")
+    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "h", "text")
     return docs.groupBy("g").applyInArrow(run, SENT)
 
 
@@ -112,7 +177,7 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
         g = left.column("g")[0].as_py()
         return step(g, Group(left), got)
 
-    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "text")
+    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "h", "text")
     return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
 

@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Documents of one group in order of (id, text), nulls first.
+    """Documents of one group in order of (id, hash of the text where the table has one as ``h``, text), nulls first.
 
     ``data`` holds the texts' bytes end to end, ``starts[i]:starts[i+1]`` those
     of document ``i``. Null texts count as empty.
@@ -57,11 +57,8 @@ class Group:
         text = table.column(text_col).combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         text = text.cast(pa.large_binary()).fill_null(b"")
-        order = pa.compute.sort_indices(
-            pa.table({"i": table.column(id_col), "t": text}),
-            sort_keys=[("i", "ascending"), ("t", "ascending")],
-            null_placement="at_start",
-        )
+        keys = {"i": table.column(id_col)} | ({"h": table.column("h")} if "h" in table.column_names else {}) | {"t": text}
+        order = pa.compute.sort_indices(pa.table(keys), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start")
         text = text.take(order)
         if isinstance(text, pa.ChunkedArray):
             text = text.combine_chunks()

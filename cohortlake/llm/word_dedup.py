@@ -8,8 +8,8 @@ compared over the corpus, and neighbouring equal windows merge to the maximal
 exact repeat.
 
 Defined results: a null text is an empty one, and empty texts or texts of fewer
-words than a window lose nothing; rows that share an id are ordered by text,
-of identical rows one counts as first; null ids come first; other columns are
+words than a window lose nothing; rows that share an id are ordered by a hash
+of their text, of identical rows one counts as first; null ids come first; other columns are
 ignored, whatever their names, unless named in ``keep_columns``.
 """
 
@@ -31,7 +31,7 @@ WINDOW = 20
 def _local_probes(words: Words, hashes: np.ndarray, block: int, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per bucket: distinct rolling fingerprints (ascending), whether each is an aligned block, occurs twice; and the windows' starts."""
     at, h = words.windows(hashes, block)
-    of = (h % np.uint64(buckets)).astype(np.uint16)
+    of = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)  # short keys sort faster
     key = (h // np.uint64(buckets)).astype(np.uint32)
     aligned = (at - words.first[words.doc[at]]) % block == 0 if len(at) else np.zeros(0, bool)
     out = []
@@ -88,13 +88,14 @@ def _candidates(words: Words, hashes: np.ndarray, window: int, block: int, bucke
     return at[hit], h[hit]
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_columns: Iterable[str] = (), group_bytes: int = 2 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_columns: Iterable[str] = (), group_bytes: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, removed (spans of words, end-exclusive), kept_text[, extra].
 
     A word goes if a window of ``window`` words of one document covers it and
     the same word sequence also starts earlier, in a smaller id or before it in
     the document. Windows are judged on the input. The words kept are joined by
-    one space. ``group_bytes`` bounds what a task holds, but for a longer text.
+    one space. ``group_bytes`` bounds what a task holds, but for a longer text;
+    unless given it follows the corpus.
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
