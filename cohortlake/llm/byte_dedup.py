@@ -16,8 +16,8 @@ and every window has one. The rounds:
 Ranks are fingerprints: repeats need equality, not the lexicographic order.
 
 Defined results: a null text is an empty one; texts shorter than a window lose
-nothing; matches do not cross documents; rows that share an id are ordered by
-text, of identical rows one counts as first; null ids come first; other columns
+nothing; matches do not cross documents; rows that share an id are ordered by a
+hash of their text, of identical rows one counts as first; null ids come first; other columns
 are ignored, whatever their names, unless named in ``keep_columns``.
 """
 
@@ -36,6 +36,7 @@ from .packed import U64, Group, covered, mix, pack, powers, runs, unpack
 WINDOW = 100
 PREFIX = 32
 _FAR = U64(0xFFFFFFFFFFFFFFFF)
+_PLACE = U64(0xFFFFFFFF)  # the low half holds the place, so the choice hangs on the window's bytes alone
 
 
 class Suffixes:
@@ -53,10 +54,9 @@ class Suffixes:
             return
         doc_end = np.repeat(group.starts[1:], np.diff(group.starts))
         place = np.arange(n, dtype=np.int64)
-        low = U64((1 << max(1, int(n).bit_length())) - 1)
         grams = n - prefix + 1
         value = mix((self.sums[prefix:] - self.sums[:grams]) * self.down[:grams])
-        value &= ~low
+        value &= ~_PLACE
         value |= place[:grams].astype(np.uint64)
         value[doc_end[:grams] - place[:grams] < prefix] = _FAR
         least, step = value, 1
@@ -68,7 +68,7 @@ class Suffixes:
         whole = np.flatnonzero(doc_end[: len(least)] - place[: len(least)] >= window)
         if not len(whole):
             return
-        owner = (least[whole] & low).astype(np.int64)
+        owner = (least[whole] & _PLACE).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1] + 1))))
         self.at, self.start = owner[new], whole[new]
         self.stop = whole[np.append(new[1:], len(whole)) - 1]
@@ -126,7 +126,7 @@ def _windows_at_edges(suffixes: Suffixes, edge: np.ndarray) -> tuple[np.ndarray,
     return at, suffixes.hashes(at, suffixes.window)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int | None = None, keep_columns: Iterable[str] = (), group_bytes: int = 2 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int | None = None, keep_columns: Iterable[str] = (), group_bytes: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, removed (byte spans, end-exclusive), kept (binary)[, extra].
 
     A byte goes if a string of ``window`` bytes covers it that also starts
