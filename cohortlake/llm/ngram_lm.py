@@ -8,9 +8,11 @@ group sends its distinct n-grams to their segment's task, which makes the
 segment from all counts, at ``BITS`` bits an entry however many there are,
 probes it for the same n-grams and sends the levels back. No count is left out,
 and false positives have one rate at every size, (1 - exp(-3 / 16))**3 or about
-0.5 percent. Unigram counts go the same way and stay exact.
+0.5 percent. The number of segments follows from the size of the texts alone,
+so scores do not hang on partitions. Unigram counts go the same way and stay
+exact.
 
-P(w | context) is backoff_keep * count(context w) / count(context) where the
+P(w | context), a text's start being a context like any other, is backoff_keep * count(context w) / count(context) where the
 filter holds the n-gram, else (1 - backoff_keep) * P1(w), with
 P1(w) = (c(w) + 1) / (N + V + 1): at most 1 in sum over w but for the filter's
 false positives.
@@ -22,6 +24,7 @@ training flag counts as training; every row is scored, repeated ids or not.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from .packed import U64, Group, Words, mix, pack, unpack
 END, START = U64(0x5BD1E995A3C59AC3), U64(0x1B873593CC9E2D51)
 HASHES = 3
 BITS = 16  # of the filter for an entry
-FILTER_BITS = 1 << 20  # of the whole filter at least
+KEY = 40  # bits that an n-gram is known by within its segment
+SEGMENT = 4 << 20  # bytes of text a segment, 64 segments at least
 
 
 def tokens(group: Group) -> tuple[np.ndarray, np.ndarray]:
@@ -74,48 +78,61 @@ def _bits(key: np.ndarray, level: int, size: int) -> Iterable[np.ndarray]:
         yield (mix(key + U64(level * 2654435761 + i * 40503 + 1)) % U64(size)).astype(np.int64)
 
 
-def make_segment(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Filter bits of all levels of distinct n-grams."""
-    level = _levels(counts)
-    flags = np.zeros(size, np.uint8)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        for at in _bits(keys[level >= j], j, size):
-            flags[at] = 1
-    return np.packbits(flags)
-
-
-def find_counts(filters: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
-    """Quantised counts by repeated probes; 0 for absent n-grams. filters: a row of bytes for each segment."""
-    count = np.zeros(len(key), np.int64)
-    segment = (key % U64(len(filters))).astype(np.int64)
-    low = key // U64(len(filters))
-    live, level = np.arange(len(key)), 1
-    while len(live):
-        ok = np.ones(len(live), bool)
-        for at in _bits(low[live], level, size):
-            ok &= (filters[segment[live], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-        live = live[ok]
-        count[live] = 1 << (level - 1)
-        level += 1
-    return count
-
-
-def found_levels(keys: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-    """For distinct n-grams with their counts, 0 too, the level that their segment's filter gives."""
-    held = counts > 0
-    size = -(-max(least, BITS * int(_levels(counts[held]).sum())) // 8) * 8
-    filters = make_segment(keys[held], counts[held], size).reshape(1, -1)
-    count = find_counts(filters, size, keys)
-    return np.where(count > 0, _levels(np.maximum(count, 1)), 0).astype(np.uint8)
-
-
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, filter_bits: int = FILTER_BITS, backoff_keep: float = 0.4, group_bytes: int = 2 << 20) -> DataFrame:
+def split_key(gram: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each n-gram and the ``KEY`` bits it is known by there; neither hangs on how tasks are dealt."""
+    return (gram % U64(segments)).astype(np.int64), gram // U64(segments) & U64((1 << KEY) - 1)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """The filters of several segments end to end: segment i has ``size[i]`` bits from ``first[i]`` on."""
+
+    flags: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    def at(self, segment: np.ndarray, key: np.ndarray, level: int) -> Iterable[np.ndarray]:
+        for i in range(HASHES):
+            yield self.first[segment] + (mix(key + U64(level * 2654435761 + i * 40503 + 1)) % self.size[segment].astype(U64)).astype(np.int64)
+
+    @classmethod
+    def of(cls, segment: np.ndarray, key: np.ndarray, counts: np.ndarray, segments: int, least: int = 64) -> Filter:
+        """From all levels of distinct n-grams; a segment's size follows from its own entries."""
+        level = _levels(counts)
+        size = np.maximum(least, BITS * np.bincount(segment, weights=level, minlength=segments).astype(np.int64))
+        out = cls(np.zeros(int(size.sum()), bool), np.cumsum(size) - size, size)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            held = level >= j
+            for at in out.at(segment[held], key[held], j):
+                out.flags[at] = True
+        return out
+
+    def levels(self, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """By repeated probes the last level of each n-gram without a miss before it; 0 for absent ones."""
+        out = np.zeros(len(key), np.uint8)
+        live, level = np.arange(len(key)), 1
+        while len(live):
+            ok = np.ones(len(live), bool)
+            for at in self.at(segment[live], key[live], level):
+                ok &= self.flags[at]
+            live = live[ok]
+            out[live] = level
+            level += 1
+        return out
+
+
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff_keep: float = 0.4, group_bytes: int | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, n_ngrams (found in the filter), train_tokens, train_types, base_score, score."""
     if order < 2 or not 0 < backoff_keep < 1:
         raise ValueError("order must be 2 or more, backoff_keep between 0 and 1")
     flagged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     dealt = exchange.deal(flagged, "doc_id", "text", ["train"], group_bytes)
     n = dealt.buckets
+    segments = max(64, 1 << (dealt.size // SEGMENT).bit_length())
+
+    def dealt_out(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        segment, low = split_key(gram, segments)
+        return segment, low, exchange.split_by(segment.astype(U64), n)
 
     def distinct(group: Group):
         token, doc = tokens(group)
@@ -129,36 +146,48 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def ask(g: int, group: Group):
         _, _, key, _, counts, gram, _, times = distinct(group)
-        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), exchange.split_by(gram, n), strict=True)):
+        segment, low, parts = dealt_out(gram)
+        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), parts, strict=True)):
             if len(idx) or len(of):
+                of = of[np.argsort(segment[of], kind="stable")]
+                number = np.bincount(segment[of] // n, minlength=-(-segments // n))  # of each segment of the bucket
                 other = np.flatnonzero(times[of] != 1)
-                yield b, pack(key[idx], counts[idx].astype(np.uint32), gram[of], other.astype(np.uint32), times[of][other].astype(np.uint32))
+                yield b, pack(key[idx], counts[idx].astype(np.uint32), low[of].astype(np.uint32), (low[of] >> U64(32)).astype(np.uint8), number.astype(np.uint32), other.astype(np.uint32), times[of][other].astype(np.uint32))
 
     def total(table: pa.Table) -> pa.Table:
         gs, parts = table.column("g").to_numpy(), [unpack(p) for p in table.column("payload").to_pylist()]
         key = np.concatenate([p[0] for p in parts])
         _, inverse = np.unique(key, return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        gram, place = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        own = -(-segments // n)  # segments of a bucket
+        low = np.concatenate([p[2].astype(np.uint64) | p[3].astype(np.uint64) << U64(32) for p in parts])
+        segment = np.concatenate([np.repeat(np.arange(own), p[4]) for p in parts])
+        gram, place = np.unique(segment.astype(np.uint64) << U64(KEY) | low, return_inverse=True)
         each = np.ones(len(place), np.int64)
-        each[np.concatenate([p[3].astype(np.int64) + first for p, first in zip(parts, np.cumsum([0] + [len(p[2]) for p in parts])[:-1], strict=True)])] = np.concatenate([p[4] for p in parts])
-        levels = found_levels(gram, np.bincount(place, weights=each, minlength=len(gram)).astype(np.int64), filter_bits // n)
+        each[np.concatenate([p[5].astype(np.int64) + first for p, first in zip(parts, np.cumsum([0] + [len(p[2]) for p in parts])[:-1], strict=True)])] = np.concatenate([p[6] for p in parts])
+        times = np.bincount(place, weights=each, minlength=len(gram)).astype(np.int64)
+        of, key = (gram >> U64(KEY)).astype(np.int64), gram & U64((1 << KEY) - 1)
+        levels = Filter.of(of[times > 0], key[times > 0], times[times > 0], own).levels(of, key)
+        counts = counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
         told, at, by = [], 0, 0
         for p in parts:
             told.append(pack(counts[inverse[at : at + len(p[0])]], levels[place[by : by + len(p[2])]]))
             at, by = at + len(p[0]), by + len(p[2])
         b = table.column("bucket")[0].as_py()
         rows = len(gs)
-        own = {"g": pa.array([*gs.tolist(), -1], pa.int32()), "bucket": pa.array([b] * (rows + 1), pa.int32()), "payload": pa.array([*told, b""], pa.binary())}
-        return pa.table(own | {"tokens": pa.array([0] * rows + [int(counts.sum())], pa.int64()), "types": pa.array([0] * rows + [int((counts > 0).sum())], pa.int64())})
+        row = {"g": pa.array([*gs.tolist(), -1], pa.int32()), "bucket": pa.array([b] * (rows + 1), pa.int32()), "payload": pa.array([*told, b""], pa.binary())}
+        return pa.table(row | {"tokens": pa.array([0] * rows + [int(counts.sum(dtype=np.int64))], pa.int64()), "types": pa.array([0] * rows + [int((counts > 0).sum())], pa.int64())})
 
     def last(g: int, group: Group, got: dict[int, list[bytes]]) -> pa.Table:
         token, doc, key, inverse, _, gram, place, _ = distinct(group)
         counts, level = np.zeros(len(key), np.int64), np.zeros(len(gram), np.int64)
-        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), exchange.split_by(gram, n), strict=True)):
+        segment, _, parts = dealt_out(gram)
+        for b, (idx, of) in enumerate(zip(exchange.split_by(key, n), parts, strict=True)):
             if len(idx) or len(of):
-                counts[idx], level[of] = unpack(got[b][0])
+                counts[idx], level[of[np.argsort(segment[of], kind="stable")]] = unpack(got[b][0])
         own = counts[inverse]
+        begins = np.diff(doc, prepend=-1) > 0
+        trained = own[token == END][0] if len(token) else 0  # texts, for each has one end: the count of their start as a context
         known = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)[place].reshape(order - 1, len(token))
         logs = np.log10(own + 1.0)
         # of the longest context that the filter knows with this token
@@ -167,16 +196,16 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             times = known[c]
             if c:
                 before = np.roll(known[c - 1], 1)  # the context as an n-gram: its last token after its own context
-                before[np.diff(doc, prepend=-1) > 0] = 0
             else:
-                before = np.zeros(len(token), np.int64)
-                before[1:] = np.where(doc[1:] == doc[:-1], own[:-1], 0)
+                before = np.roll(own, 1)
+            before[begins] = trained
             new = ~hit & (times > 0) & (before > 0)
             value[new] = np.log10(backoff_keep * np.minimum(1.0, times[new] / before[new]))
             hit |= new
         add = lambda x: np.bincount(doc, weights=x, minlength=group.n)
         return pa.table({
-            "doc_id": group.ids, "n_tokens": pa.array(add(np.ones(len(doc))).astype(np.int64)), "n_known": pa.array(add(own > 0).astype(np.int64)),
+            "doc_id": group.ids,
+            "n_tokens": pa.array(add(np.ones(len(doc))).astype(np.int64)), "n_known": pa.array(add(own > 0).astype(np.int64)),
             "n_ngrams": pa.array(add(hit).astype(np.int64)), "logs": pa.array(add(logs)), "missed": pa.array(add(np.where(hit, 0.0, logs))), "found": pa.array(add(value)),
         })
 
