@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 
-MAX_ROWS, MAX_CHARS = 1500, 20_000
+MAX_ROWS, MAX_CHARS = 2500, 16_000_000  # of the training sample, together
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _EPS = 1e-300
 
@@ -205,12 +205,27 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float = 20.0, least: int = 5,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` labelled texts of up to ``max_chars`` characters, chosen by a hash of the id."""
-    marked = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= max_chars)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).select("text", "toxic").toPandas()
-    return rows["text"].tolist(), rows["toxic"].to_numpy() > 0
+    """A bounded sample of the labelled texts, whole, in order of a hash of the id.
+
+    Of the documents that ``labels`` covers the first ``max_rows``, and of these
+    all that fit into ``max_chars`` characters together, so a text stays out by
+    its length only if it alone would take up what the others leave. Of several
+    labels of an id the larger counts.
+    """
+    marked = labels.filter(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("size")).join(marked, "doc_id")
+    taken, room = [], max_chars
+    for r in rows.orderBy(*order).limit(max_rows).collect():
+        if (r["size"] or 0) <= room:
+            taken.append((r.doc_id, r.h, r.toxic))
+            room -= r["size"] or 0
+    if not taken:
+        return [], np.zeros(0, bool)
+    chosen = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", "h", "toxic").schema).distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["doc_id", "h"])
+    pdf = texts.orderBy(*order).limit(max_rows).select("text", "toxic").toPandas()
+    return pdf["text"].fillna("").tolist(), pdf["toxic"].to_numpy() > 0
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: Iterable[str] = ()) -> DataFrame:
