@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 
+def salted_join(rows: DataFrame, named: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Inner join of rows, of which very many may hold one key, with a table of one row a key.
+
+    The rows are spread over ``salts`` tasks a key by their ``spread`` column, the
+    table is repeated as often.
+    """
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = named.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of an edge, label the least node reachable.
 
@@ -21,8 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
-        up = lower.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
-        step = cut(lower.join(up, "mid").select("node", "old", F.least("mid", "top").alias("label")))
+        # a hub is the label of very many nodes
+        up = lower.select("mid").distinct().join(lower.select(F.col("node").alias("mid"), F.col("mid").alias("top")), "mid")
+        step = cut(salted_join(lower, up, "mid", "node").select("node", "old", F.least("mid", "top").alias("label")))
         labels = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return labels

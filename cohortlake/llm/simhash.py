@@ -12,7 +12,10 @@ broadcast, for the trees of all fingerprints grow with the corpus.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; fewer words than a shingle give one shingle of them all; rows that share
-an id are rows of their own; null ids count last for the smallest id.
+an id are rows of their own; null ids count last for the smallest id; other
+columns are ignored, whatever their names; an empty table gives an empty result.
+
+``near_copies`` is the same operator for a similarity of shingle sets.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .components import connected_components
+from .bktree import Forest
+from .components import connected_components, salted_join
 from .packed import Group, Words
 from .shared import cut
 
@@ -85,59 +89,6 @@ def masks(nodes: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(block, agree)]
 
 
-class Forest:
-    """BK-trees of many shards at once; items sorted by shard, distinct within one."""
-
-    def __init__(self, shard: np.ndarray, value: np.ndarray):
-        self.value, n = value, len(value)
-        root_at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-        self.root = np.repeat(root_at, np.diff(np.append(root_at, n)))
-        self.parent = np.full(n, -1, np.int64)
-        here = self.root.copy()
-        todo = np.flatnonzero(here != np.arange(n))
-        edges, depth = [], []
-        while len(todo):
-            key = here[todo] * 65 + np.bitwise_count(value[todo] ^ value[here[todo]])
-            order = np.argsort(key, kind="stable")
-            todo, key = todo[order], key[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            child = todo[new]
-            self.parent[child] = here[child]
-            edges.append((key[new], child))
-            depth.append(child)
-            here[todo] = child[np.cumsum(new) - 1]
-            todo = todo[~new]
-        code = np.concatenate([k for k, _ in edges]) if edges else np.zeros(0, np.int64)
-        order = np.argsort(code)
-        self.code, self.child = code[order], (np.concatenate([c for _, c in edges])[order] if edges else np.zeros(0, np.int64))
-        self.below = np.ones(n, np.int64)  # items of the subtree still to be found
-        for level in depth[::-1]:
-            np.add.at(self.below, self.parent[level], self.below[level])
-        self.live = np.ones(n, bool)
-
-    def search(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) pairs of the items still to be found within the radius."""
-        found, node = [], self.root[query]
-        while len(query):
-            far = np.bitwise_count(self.value[query] ^ self.value[node]).astype(np.int64)
-            hit = (far <= radius) & self.live[node] & (query != node)
-            found.append((query[hit], node[hit]))
-            low = np.searchsorted(self.code, node * 65 + np.maximum(far - radius, 1))
-            size = np.searchsorted(self.code, node * 65 + np.minimum(far + radius, 64), side="right") - low
-            at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-            query, node = np.repeat(query, size), self.child[at]
-            more = self.below[node] > 0
-            query, node = query[more], node[more]
-        return (np.concatenate([x[i] for x in found]) for i in (0, 1)) if found else (query, query)
-
-    def remove(self, items: np.ndarray) -> None:
-        self.live[items] = False
-        while len(items):
-            np.subtract.at(self.below, items, 1)
-            items = self.parent[items]
-            items = items[items >= 0]
-
-
 def shard_links(shard: np.ndarray, value: np.ndarray, radius: int, at_once: int = 128, few: int = 16) -> np.ndarray:
     """For each item the least index of its links' component within its shard.
 
@@ -220,9 +171,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = link(nodes.select("fp"), radius)
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = labels.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    tied = salted_join(named.select("fp", "label"), least, "label", "fp").select("fp", "component_id")
+    whole = nodes.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_bktree(spark, sf_dir: str) -> DataFrame:
