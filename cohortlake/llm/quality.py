@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a condition that rejects a text. On a sample its cost is the time
-that it takes from the raw text, its selectivity the share it rejects; the rules
-are then ordered by rejection per cost and become one CASE, which stops at the
-first that rejects. A text that an earlier rule rejects does not have its windows
-hashed, the dear part. The order changes what is computed, never the verdict.
+Each rule is a condition that rejects a text. On a sample of all rows its cost
+is the time that it takes from the raw text, its selectivity the share it
+rejects; the rules are then ordered by rejection per cost and become one CASE,
+which stops at the first that rejects. What only later rules read is not
+computed for a text that an earlier one rejects: its distinct words, its
+capitals, digits and marks, and, where the counts of all texts are not asked
+for, its windows of words. The order changes what is computed, never the verdict.
 
 Defined results: a null text has no words, like an empty one; it fails the rule
-of least words. Ids, ties and other columns play no part; a column of the name
-of a result gives way to it.
+of least words. Ids, ties, repeated rows and other columns play no part; a column
+of the name of a result gives way to it, and names that begin with ``__quality_``
+are the module's own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
+from .shared import cut
+
+SPACE = " \t-\r"  # space and U+0009 to U+000D, in a class of a pattern
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SAMPLE = 2000
@@ -29,57 +34,87 @@ Condition = Callable[[Callable[[str], Column]], Column]
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than space and U+0009 to U+000D."""
-    return F.filter(F.split(F.translate(text, SPACES[1:], " " * 5), " "), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+
+
+def _own(name: str) -> Column:
+    return F.col(f"__quality_{name}")
+
+
+def _add(df: DataFrame, **new: Column) -> DataFrame:
+    return df.withColumns({f"__quality_{k}": v for k, v in new.items()})
 
 
-def _stages(docs: DataFrame, text_col: str, window: int = WINDOW, unless: Condition | None = None) -> tuple[DataFrame, dict[str, Column]]:
-    """The rows with what the counts are made of, and the counts by name.
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _measures(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """The rows with their words, lines and cheap counts, and every other measure by its name.
 
     Needs no shuffle: all is counted within the row. Each step names what later
-    steps read more than once, so arrays are made once a row. Windows are hashed
-    only where ``unless``, over the other counts, is not true; the count of
-    repeated words is null elsewhere.
+    steps read more than once, so arrays are made once a row.
     """
-    c = lambda x: F.col(f"__quality_{x}")
-    add = lambda df, **new: df.withColumns({f"__quality_{k}": v for k, v in new.items()})
-    most = lambda x: F.greatest(x, F.lit(0))
-    out = add(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    out = add(out, words=words(c("text")), lines=F.filter(F.split(c("text"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
-    counts = {
-        "n_words": F.size(c("words")),
-        "word_chars": F.length(F.translate(c("text"), SPACES, "")),
-        "n_symbols": F.length(c("text")) - F.length(F.translate(c("text"), SYMBOLS, "")),
-        "n_lines": F.size(c("lines")),
-        "n_dup_lines": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
+    out = _add(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    out = _add(out, words=words(_own("text")), lines=F.filter(F.split(_own("text"), "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]"))))
+    number = lambda chars: F.length(F.regexp_replace(_own("text"), f"[^{chars}]+", ""))
+    cheap = {
+        "n_words": F.size(_own("words")),
+        "word_chars": F.length(F.regexp_replace(_own("text"), f"[{SPACE}]+", "")),
+        "n_symbols": number(SYMBOLS),
+        "n_lines": F.size(_own("lines")),
+        "n_dup_lines": F.size(_own("lines")) - F.size(F.array_distinct(_own("lines"))),
     }
-    counts = {k: v.cast("bigint") for k, v in counts.items()}
-    asked = F.lit(True)
-    if unless is not None:
-        out, asked = add(out, asked=~F.coalesce(unless(counts.__getitem__), F.lit(False))), c("asked")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c("words")) - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(c("words"), i, window)))
-    out = add(out, grams=F.when(asked & (F.size(c("words")) >= window), grams).otherwise(F.array().cast("array<bigint>")))
-    # only a text with a repeated window sorts its windows; equal neighbours give the places
-    twice = F.size(F.array_distinct(c("grams"))) < F.size(c("grams"))
-    out = add(out, sorted=F.when(twice, F.sort_array(F.transform(c("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    n = most(F.size(c("sorted")) - 1)
-    same = F.zip_with(F.slice(c("sorted"), 1, n), F.slice(c("sorted"), 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    out = add(out, at=F.when(c("sorted").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
-    k = most(F.size(c("at")) - 1)
-    gaps = F.zip_with(F.slice(c("at"), 1, k), F.slice(c("at"), 2, k), lambda a, b: F.least(b - a, F.lit(window)))
-    repeated = F.when(c("at").isNotNull(), F.aggregate(gaps, F.lit(window), lambda acc, g: acc + g)).otherwise(F.lit(0)).cast("bigint")
-    return out, counts | {"n_repeat_words": repeated if unless is None else F.when(asked, repeated)}
+    out = _add(out, **{k: v.cast("bigint") for k, v in cheap.items()})
+    dear = {
+        "n_distinct_words": F.size(F.array_distinct(_own("words"))),
+        "n_capitals": number("A-Z"),
+        "n_digits": number("0-9"),
+        "n_marks": number("!?"),
+        "n_brackets": number(r"()\[\]{}"),
+    }
+    return out, lambda name: dear[name].cast("bigint") if name in dear else _own(name)
+
+
+def _zipped(left: Column, right: Column, by: int) -> Column:
+    """The fingerprints of runs at each place that ``left`` begins and ``right``, ``by`` places on, ends."""
+    n = F.greatest(F.least(F.size(left), F.size(right) - by), F.lit(0))
+    return F.zip_with(F.slice(left, 1, n), F.slice(right, by + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
-def measure(docs: DataFrame, text_col: str = "text", window: int = WINDOW, unless: Condition | None = None) -> DataFrame:
-    """The rows with a struct ``stats``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (null where ``unless`` is true)."""
-    out, counts = _stages(docs, text_col, window, unless)
-    # one row each; a filter on the counts then stays above and does not copy the arrays into its condition
-    return out.select(*[F.col(f"`{x}`") for x in docs.columns if x != "stats"], F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()]))).alias("stats"))
+def _windows(out: DataFrame, asked: Column, window: int) -> DataFrame:
+    """Adds the count of words in repeated windows; null where not asked for."""
+    most = lambda x: F.greatest(x, F.lit(0))
+    some = _own("words").isNotNull() & asked & (F.size(_own("words")) >= window)
+    out = _add(out, hash1=F.when(some, F.transform(_own("words"), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    # fingerprints of runs of 1, 2, 4 .. words, each from two neighbours, joined to the width asked for
+    width, joined, done = 1, None, 0
+    while True:
+        if window & width:
+            run = _own(f"hash{width}")
+            if joined is not None:
+                out = _add(out, joined=_zipped(_own(joined), run, done))
+            joined, done = ("joined" if joined is not None else f"hash{width}"), done + width
+        if 2 * width > window:
+            break
+        run = _own(f"hash{width}")
+        out = _add(out, **{f"hash{2 * width}": _zipped(run, run, width)})
+        width *= 2
+    out = _add(out, grams=_own(joined))
+    # only a text with a repeated window sorts its windows; equal neighbours give the places
+    twice = F.size(F.array_distinct(_own("grams"))) < F.size(_own("grams"))
+    out = _add(out, sorted=F.when(twice, F.sort_array(F.transform(_own("grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    n = most(F.size(_own("sorted")) - 1)
+    same = F.zip_with(F.slice(_own("sorted"), 1, n), F.slice(_own("sorted"), 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    out = _add(out, at=F.when(_own("sorted").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
+    k = most(F.size(_own("at")) - 1)
+    gaps = F.zip_with(F.slice(_own("at"), 1, k), F.slice(_own("at"), 2, k), lambda a, b: F.least(b - a, F.lit(window)))
+    repeated = F.when(_own("at").isNotNull(), F.aggregate(gaps, F.lit(window), lambda acc, g: acc + g)).otherwise(F.lit(0)).cast("bigint")
+    return _add(out, n_repeat_words=F.when(asked, repeated))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` makes the condition from what gives a count by its name."""
+    """``rejects`` makes the condition from what gives a measure by its name."""
 
     name: str
     rejects: Condition
@@ -87,7 +122,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The rules over counts, in whole numbers."""
+    """The rules over measures, in whole numbers."""
     return [
         Rule("few_words", lambda c: c("n_words") < 20),
         Rule("repeated_words", lambda c: 100 * c("n_repeat_words") > 30 * c("n_words"), reads_windows=True),
@@ -95,49 +130,73 @@ def rules() -> list[Rule]:
         Rule("symbols", lambda c: 10 * c("n_symbols") > c("n_words")),
         Rule("short_words", lambda c: c("word_chars") < 2 * c("n_words")),
         Rule("long_words", lambda c: c("word_chars") > 20 * c("n_words")),
+        Rule("few_distinct_words", lambda c: 50 * c("n_distinct_words") < c("n_words")),
+        Rule("capitals", lambda c: 2 * c("n_capitals") > c("word_chars")),
+        Rule("digits", lambda c: 2 * c("n_digits") > c("word_chars")),
+        Rule("marks", lambda c: c("n_marks") > c("n_words")),
+        Rule("brackets", lambda c: 5 * c("n_brackets") > c("n_words")),
     ]
 
 
 def order_rules(docs: DataFrame, chosen: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE) -> list[tuple[Rule, float, float]]:
     """(rule, share rejected, seconds) by rejection per cost, best first.
 
-    A rule is timed from the raw text on the first ``sample_rows`` rows: a limit
-    that is collected reads the first partitions only, as many as it needs, and
-    gives one boolean a row. The first job, not timed, warms the scan.
+    About ``sample_rows`` rows are drawn from all partitions and kept in the
+    checkpoint folder. A rule's job counts what it rejects from the raw text; the
+    better of two runs counts, less what a job without a rule takes.
     """
-    sample, counts = _stages(docs.select(F.col(f"`{text_col}`")), text_col)
-    run = lambda c: sample.select(F.coalesce(c, F.lit(False)).alias("hit")).limit(sample_rows).collect()
-    run(counts["n_words"] > 0)
-    out = []
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    sample = cut(texts.sample(False, min(1.0, sample_rows / max(1, texts.count())), 11))
+    out, measure_of = _measures(sample, "text")
+    whole = _windows(out, F.lit(True), WINDOW)
+
+    def timed(frame: DataFrame, condition: Column) -> tuple[float, int, int]:
+        job, best, row = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(condition).alias("hits")), float("inf"), None
+        for _ in range(2):
+            began = time.perf_counter()
+            row = job.first()
+            best = min(best, time.perf_counter() - began)
+        return best, row.n, row.hits
+
+    idle, _, _ = timed(sample, F.col("text").isNull())
+    found = []
     for rule in chosen:
-        began = time.perf_counter()
-        hits = [r.hit for r in run(rule.rejects(counts.__getitem__))]
-        out.append((rule, sum(hits) / len(hits) if hits else 0.0, time.perf_counter() - began))
-    return sorted(out, key=lambda x: (-x[1] / x[2], x[0].name))
+        seconds, n, hits = timed(whole if rule.reads_windows else out, F.coalesce(rule.rejects(measure_of), F.lit(False)))
+        found.append((rule, hits / n if n else 0.0, max(seconds - idle, 1e-3)))
+    return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
 
 
-def cascade(ordered: list[Rule], count: Callable[[str], Column]) -> Column:
+def cascade(ordered: list[Rule], measure_of: Callable[[str], Column]) -> Column:
     """The name of the first rule that rejects, null if none does."""
     out = F
     for rule in ordered:
-        out = out.when(F.coalesce(rule.rejects(count), F.lit(False)), F.lit(rule.name))
-    return out.otherwise(F.lit(None).cast("string"))
+        out = out.when(F.coalesce(rule.rejects(measure_of), F.lit(False)), F.lit(rule.name))
+    return out.otherwise(F.lit(None).cast("string")) if ordered else F.lit(None).cast("string")
+
+
+def apply_cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", verdict_col: str = "rejected_by", with_stats: bool = False, window: int = WINDOW) -> DataFrame:
+    """The rows with the verdict of the rules in this order and, with ``with_stats``, a struct ``stats`` of the base counts."""
+    nth = next((i for i, r in enumerate(ordered) if r.reads_windows), len(ordered))
+    out, measure_of = _measures(docs, text_col)
+    out = _add(out, first=cascade(ordered[:nth], measure_of))
+    out = _windows(out, F.lit(True) if with_stats else _own("first").isNull() & F.lit(nth < len(ordered)), window)
+    out = _add(out, verdict=F.coalesce("__quality_first", cascade(ordered[nth:], measure_of)))
+    # one row each; a filter on the verdict then stays above and does not copy the arrays into its condition
+    result = F.struct(F.col("__quality_verdict").alias("v"), *([F.struct(*[_own(k).alias(k) for k in BASE]).alias("s")] if with_stats else []))
+    new = {verdict_col: F.col("__quality_result.v")} | ({"stats": F.col("__quality_result.s")} if with_stats else {})
+    kept = [F.col(f"`{x}`") for x in docs.columns if x not in new]
+    out = out.select(*kept, F.explode(F.array(result)).alias("__quality_result"))
+    return out.select(*kept, *[v.alias(k) for k, v in reversed(new.items())])
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", chosen: list[Rule] | None = None, sample_rows: int = SAMPLE, verdict_col: str = "rejected_by", with_stats: bool = False) -> DataFrame:
     """The rows with ``verdict_col``, the name of a rule that rejects them or null.
 
-    Costs and selectivities are estimated on ``sample_rows`` rows; the rules see
-    every row, but windows are hashed only for texts that no rule before those
-    that read them rejects. ``with_stats`` adds all counts of every row, as
-    ``measure`` gives them.
+    Costs and selectivities are estimated on about ``sample_rows`` rows; the
+    rules see every row. ``with_stats`` adds the base counts of every row.
     """
     ordered = [r for r, _, _ in order_rules(docs, chosen or rules(), text_col, sample_rows)]
-    nth = next((i for i, r in enumerate(ordered) if r.reads_windows), len(ordered))
-    unless = None if with_stats or not nth else lambda c: cascade(ordered[:nth], c).isNotNull()
-    measured = measure(docs.withColumnRenamed("stats", "__stats"), text_col, unless=unless)
-    out = measured.withColumn(verdict_col, cascade(ordered, lambda x: F.col(f"stats.{x}")))
-    return out.drop("__stats") if with_stats else out.drop("stats").withColumnRenamed("__stats", "stats")
+    return apply_cascade(docs, ordered, text_col, verdict_col, with_stats)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -145,7 +204,7 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_stats=True)
     s = lambda x: F.col(f"stats.{x}")
     base = (s("n_words") < 20) | (100 * s("n_repeat_words") > 30 * s("n_words"))
-    return out.select("doc_id", s("n_words").alias("n_words"), s("word_chars").alias("word_chars"), s("n_symbols").alias("n_symbols"), s("n_dup_lines").alias("n_dup_lines"), s("n_repeat_words").alias("n_repeat_words"), base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"))
+    return out.select("doc_id", *[s(x).alias(x) for x in BASE if x != "n_lines"], base.alias("base_failed"), (~base & F.col("rejected_by").isNull()).alias("kept"))
 
 
 OP6_SQL = r"""
@@ -161,13 +220,17 @@ r AS (
   FROM (SELECT *, list_histogram(grams) AS list_count_map FROM g)),
 m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(list_distinct(words)) AS n_distinct_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+         length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks, length(regexp_replace(text, '[^][(){}]', '', 'g')) AS n_brackets, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          CASE WHEN len(hits) = 0 THEN 0 ELSE 8 + coalesce(list_sum(list_transform(range(1, len(hits)), lambda i: least(8, hits[i+1] - hits[i]))), 0) END::BIGINT AS n_repeat_words
   FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
-            OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+            OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 50 * n_distinct_words < n_words OR 2 * n_capitals > word_chars OR 2 * n_digits > word_chars
+            OR n_marks > n_words OR 5 * n_brackets > n_words) AS kept
 FROM m
 """
