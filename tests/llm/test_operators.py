@@ -226,6 +226,36 @@ def test_sentencepiece(docs):
         assert np.frombuffer(r.ids, "<u4").tolist() == sp.encode(r.text or "") and r.decoded == (r.text or "")
 
 
+def test_long_words_cost_no_square(spark):
+    import time
+
+    import public_tokenizers as P
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng, seconds = np.random.default_rng(8), []
+    v = pieces.load(open(P.path("piece_bpe_32k.model"), "rb").read())
+    for n in (600, 20_000, 80_000):
+        word = "".join(map(chr, rng.integers(97, 123, n)))
+        began = time.perf_counter()
+        assert v.encode([word])[0].tolist() == sp.encode(word)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 10 * seconds[1] + 1
+    for word in ("the" * 100, "ab" * 150, "x" * 400):  # both ways of merging agree
+        nxt = v._merge(np.frombuffer(word.encode("utf-32-le"), np.uint32).reshape(1, -1))[0]
+        assert nxt.tolist() == v._merge_long(word).tolist()
+
+
+def test_sentencepiece_edge_tables(spark):
+    import public_tokenizers as P
+
+    path = P.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "a b", "x", b"y"), (1, "a b", "x", b"y"), (None, None, "x", b"y")], "doc_id bigint, text string, decoded string, ids binary")
+    got = pieces.encode_texts(df, path).collect()
+    assert [r.n_ids for r in got] == [got[0].n_ids] * 2 + [0] and got[0].decoded == "a b"
+    assert pieces.encode_texts(df.filter("1 = 0"), path).count() == 0
+
+
 def test_unigram_viterbi():
     vocab = ["<unk>", "▁", "a", "b", "ab", "ba", "aba", "▁a", "bab"]
     score = [0.0, -2.0, -1.5, -1.7, -2.2, -2.9, -3.0, -2.5, -4.1]
@@ -242,6 +272,16 @@ def repeat_words(ws):
     return len(hit)
 
 
+@pytest.mark.parametrize("window", [1, 3, 6, 8])
+def test_windows_of_any_width(docs, window):
+    measures, _ = quality._measures(docs, "text")
+    for r in quality._windows(measures, F.lit(True), window).collect():
+        ws = WORDS(r.text or "")
+        c = Counter(tuple(ws[i : i + window]) for i in range(len(ws) - window + 1))
+        hit = {j for i in range(len(ws) - window + 1) if c[tuple(ws[i : i + window])] > 1 for j in range(i, i + window)}
+        assert r["__quality_n_repeat_words"] == len(hit)
+
+
 def test_quality(docs):
     out = quality.apply_rules(docs, with_stats=True)
     assert out.columns == [*[c for c in docs.columns if c != "stats"], "stats", "rejected_by"]
@@ -252,14 +292,54 @@ def test_quality(docs):
         assert (r.rejected_by is None) <= (len(ws) >= 20)
 
 
-def test_cascade_order_never_changes_the_verdict(docs):
-    m, rules = quality.measure(docs), quality.rules()
-    verdicts = lambda r: {x.doc_id: x.x is None for x in m.select("doc_id", quality.cascade(r, lambda c: F.col(f"stats.{c}")).alias("x")).collect()}
-    kept = verdicts(rules)
-    assert kept == verdicts(rules[::-1]) and len(set(kept.values())) == 2
-    lazy = quality.apply_rules(docs.withColumn("rejected_by", F.lit("mine")), verdict_col="__why")
-    assert {r.doc_id: r["__why"] is None for r in lazy.collect()} == kept
-    assert lazy.columns == [*docs.columns, "rejected_by", "__why"]
+ODD = ["ABC DEF! " * 12, "12 345 " * 15, "what?! no! " * 9 + "x1 x2 x3", "(a) [b] {c} " * 8, "one two three four five six seven eight nine ten " * 60, "$ # % a b c d e f g h i j k l m n o p q r s t u v", None, "", *[" ".join(f"{chr(97 + (i * j) % 26)}{chr(97 + j)}e" for j in range(26)) for i in range(1, 6)]]
+
+
+def test_cascade_order_never_changes_the_verdict(spark, docs):
+    rows = [(100 + i, t, i, "x", None) for i, t in enumerate(ODD)]
+    df = docs.union(spark.createDataFrame(rows, SCHEMA)).withColumn("__stats", F.lit(1))
+    rules = quality.rules()
+    base = [r for r in rules if r.name in ("few_words", "repeated_words")]
+    verdicts = lambda r, stats: {x.doc_id: x.rejected_by for x in quality.apply_cascade(df, r, with_stats=stats).collect()}
+    whole = verdicts(rules, False)
+    kept = {i for i, v in whole.items() if v is None}
+    for order in (rules[::-1], rules[3:] + rules[:3], sorted(rules, key=lambda r: r.name)):
+        for stats in (False, True):
+            assert {i for i, v in verdicts(order, stats).items() if v is None} == kept
+    assert 0 < len(kept) < len(whole) and kept < {i for i, v in verdicts(base, False).items() if v is None}
+    lazy = quality.apply_rules(df.withColumn("rejected_by", F.lit("mine")), verdict_col="__why")
+    assert {r.doc_id for r in lazy.collect() if r["__why"] is None} == kept
+    assert lazy.columns == [*df.columns, "rejected_by", "__why"]
+
+
+def test_each_rule_rejects_what_it_names(spark):
+    want = {"capitals": ODD[0], "digits": ODD[1], "marks": "what?! no! " * 9, "brackets": ODD[3], "few_distinct_words": ODD[4], "symbols": ODD[5]}
+    df = spark.createDataFrame(list(want.items()), "name string, text string")
+    for rule in quality.rules():
+        hit = {r.name for r in quality.apply_cascade(df, [rule]).filter("rejected_by is not null").collect()}
+        assert rule.name not in want or rule.name in hit
+
+
+def test_rejected_texts_skip_what_later_rules_read(spark):
+    """After a rule that rejects all, a rule that fails on any row is never computed."""
+    df = spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id bigint, text string").repartition(3)
+    boom = quality.Rule("boom", lambda c: F.raise_error(F.concat(F.lit("computed "), c("n_distinct_words").cast("string"))).cast("boolean"))
+    out = quality.apply_cascade(df, [quality.rules()[0], boom])
+    assert {r.rejected_by for r in out.collect()} == {"few_words"}
+    with pytest.raises(Exception, match="computed"):
+        quality.apply_cascade(df, [boom, quality.rules()[0]]).collect()
+
+
+def test_quality_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame([(i, t) for i, t, *_ in texts()] + [(200 + i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality.OP6_SQL)
+    got = quality.op6_quality_rules(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 def test_rule_order_follows_rejection_per_cost(docs):
