@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -26,3 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the checkpoint folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A cut frame, marked for broadcast if its counted rows of ``row_bytes`` fit into ``BROADCAST_BYTES``; else joins shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

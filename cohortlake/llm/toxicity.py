@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 
-MAX_ROWS, MAX_CHARS = 2500, 16_000_000  # of the training sample, together
+MAX_ROWS, MAX_CHARS = 2500, 12_000_000  # of the training sample, together
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _EPS = 1e-300
 
