@@ -178,7 +178,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept binary" + (f", extra {fields.simpleString()}" if fields else "")
     asked = exchange.ask(dealt, lambda g, group: _send_ranks(group, window, prefix, n))
     windows = exchange.told(dealt, exchange.answer(asked, _answer_ranks), again, exchange.SENT)
-    return exchange.told(dealt, exchange.answer(windows, repeats.answer_windows), last, schema, bool(keep_columns))
+    return exchange.told(dealt, exchange.answer(windows, repeats.answer_windows), last, schema)
 
 
 def _results(group: Group, gone: np.ndarray, extra: bool) -> pa.Table:
@@ -196,7 +196,7 @@ def _results(group: Group, gone: np.ndarray, extra: bool) -> pa.Table:
         kept.append(b"".join([*parts, raw[at:z]]))
     spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
     cols = {"doc_id": group.ids, "n_bytes": pa.array(np.diff(group.starts)), "n_removed": pa.array(n_removed, pa.int64()), "removed": spans, "kept": pa.array(kept, pa.binary())}
-    return pa.table(cols | ({"extra": group.rows.column("extra")} if extra else {}))
+    return pa.table(cols | ({"extra": group.extra()} if extra else {}))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

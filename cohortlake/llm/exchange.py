@@ -142,15 +142,14 @@ def split_by(key: np.ndarray, buckets: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(of[order], np.arange(1, buckets)))
 
 
-def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]], extra: bool = False) -> DataFrame:
+def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]]) -> DataFrame:
     """First step: every group sends (bucket, payload) rows."""
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
         return sent(g, step(g, Group(table)))
 
-    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "h", "text")
-    return docs.groupBy("g").applyInArrow(run, SENT)
+    return dealt.docs.groupBy("g").applyInArrow(run, SENT)
 
 
 def answer(asked: DataFrame, step: Callable[[np.ndarray, list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
@@ -167,7 +166,7 @@ def answer(asked: DataFrame, step: Callable[[np.ndarray, list[bytes]], Iterable[
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int, list[bytes]]], pa.Table], schema: str, extra: bool = False) -> DataFrame:
+def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int, list[bytes]]], pa.Table], schema: str) -> DataFrame:
     """A further step: every group again, with the answers by bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -177,8 +176,7 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
         g = left.column("g")[0].as_py()
         return step(g, Group(left), got)
 
-    docs = dealt.docs if extra else dealt.docs.select("g", "doc_id", "h", "text")
-    return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
+    return dealt.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int = 2 << 20) -> Iterable[pa.Table]:
@@ -193,3 +191,4 @@ def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int
             until = min(max(until, at + 1), batch.num_rows)
             yield pa.Table.from_batches([batch.slice(at, until - at)])
             at = until
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks

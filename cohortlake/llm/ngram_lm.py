@@ -209,9 +209,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             "n_ngrams": pa.array(add(hit).astype(np.int64)), "logs": pa.array(add(logs)), "missed": pa.array(add(np.where(hit, 0.0, logs))), "found": pa.array(add(value)),
         })
 
-    answers = exchange.ask(dealt, ask, extra=True).groupBy("bucket").applyInArrow(total, exchange.ANSWER + ", tokens bigint, types bigint")
+    answers = exchange.ask(dealt, ask).groupBy("bucket").applyInArrow(total, exchange.ANSWER + ", tokens bigint, types bigint")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, n_known bigint, n_ngrams bigint, logs double, missed double, found double"
-    parts = exchange.told(dealt, answers.filter("g >= 0").select("g", "bucket", "payload"), last, schema, extra=True)
+    parts = exchange.told(dealt, answers.filter("g >= 0").select("g", "bucket", "payload"), last, schema)
     totals = answers.filter("g = -1").agg(F.sum("tokens").alias("train_tokens"), F.sum("types").alias("train_types"))
     room = F.log10((F.col("train_tokens") + F.col("train_types") + 1).cast("double"))
     misses = F.col("n_tokens") - F.col("n_ngrams")

@@ -45,6 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def loosened(kind: pa.DataType) -> pa.DataType:
+    """The type with all its fields nullable, as schemas given by text have them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, loosened(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(loosened(kind.value_type))
+    return kind
+
+
 class Group:
     """Documents of one group in order of (id, hash of the text where the table has one as ``h``, text), nulls first.
 
@@ -71,6 +80,11 @@ class Group:
         self.starts = (offsets - offsets[0]).astype(np.int64)
         self.n = len(text)
 
+    def extra(self) -> pa.ChunkedArray:
+        """The columns that ride along, one struct a row."""
+        column = self.rows.column("extra")
+        return column.cast(loosened(column.type))
+
     def sums(self) -> np.ndarray:
         """Prefix sums of byte values times powers: any substring's fingerprint in O(1)."""
         up, _ = powers(len(self.data) + 1)

@@ -133,7 +133,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     asked = exchange.ask(dealt, lambda g, group: _send_probes(group, block, n))
     windows = exchange.told(dealt, exchange.answer(asked, _answer_probes), again, exchange.SENT)
-    return exchange.told(dealt, exchange.answer(windows, repeats.answer_windows), last, schema, bool(keep_columns))
+    return exchange.told(dealt, exchange.answer(windows, repeats.answer_windows), last, schema)
 
 
 def _results(group: Group, words: Words, gone: np.ndarray, extra: bool) -> pa.Table:
@@ -149,7 +149,7 @@ def _results(group: Group, words: Words, gone: np.ndarray, extra: bool) -> pa.Ta
         removed.append([{"start": int(s), "stop": int(e)} for s, e in zip(first, stop, strict=True)])
     spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
     cols = {"doc_id": group.ids, "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_removed, pa.int64()), "removed": spans, "kept_text": pa.array(text, pa.binary()).cast(pa.string())}
-    return pa.table(cols | ({"extra": group.rows.column("extra")} if extra else {}))
+    return pa.table(cols | ({"extra": group.extra()} if extra else {}))
 
 
 def op2_word_window_dedup(spark, sf_dir: str) -> DataFrame:
