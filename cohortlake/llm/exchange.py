@@ -17,6 +17,7 @@ The text is shuffled once: each step groups the same exchange by ``g``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -130,6 +131,13 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     return Dealt(placed.select(g.cast("int").alias("g"), *named), first, buckets, size)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: a worker outlives its task, and the next stage may not need as much."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sent(g: int, parts: Iterable[tuple[int, bytes]]) -> pa.Table:
     rows = list(parts)
     return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([g] * len(rows), pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=_SENT)
@@ -147,7 +155,9 @@ def ask(dealt: Dealt, step: Callable[[int, Group], Iterable[tuple[int, bytes]]])
 
     def run(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
-        return sent(g, step(g, Group(table)))
+        out = sent(g, step(g, Group(table)))
+        give_back()
+        return out
 
     return dealt.docs.groupBy("g").applyInArrow(run, SENT)
 
@@ -174,7 +184,9 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
         for b, p in zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             got.setdefault(b, []).append(p)
         g = left.column("g")[0].as_py()
-        return step(g, Group(left), got)
+        out = step(g, Group(left), got)
+        give_back()
+        return out
 
     return dealt.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
@@ -191,4 +203,4 @@ def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int
             until = min(max(until, at + 1), batch.num_rows)
             yield pa.Table.from_batches([batch.slice(at, until - at)])
             at = until
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+    give_back()
