@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,24 +39,83 @@ def best_boxes(scored: DataFrame, unit: Sequence[str], k: int, cutoff: float) ->
     return scored.withColumn("took", took).withColumn("place", place).filter(F.col("place") <= k).withColumn("fallback_reason", reason).drop("took")
 
 
-def spread(df: DataFrame, group: Sequence[str], n: int, metric: str, ident: str) -> DataFrame:
-    """n rows a group at even places of the metric's order; one row is the middle one."""
+def spread(df: DataFrame, group: Sequence[str], n: int, metric: str, ident: str, strict: bool = True) -> DataFrame:
+    """n rows a group at even places of the metric's order; one row is that at half the group's size.
+
+    A group of fewer than n rows is an error, or without ``strict`` is kept whole.
+    """
     w = Window.partitionBy(*group)
     ranked = df.withColumn("at", F.row_number().over(w.orderBy(metric, ident)) - 1).withColumn("cnt", F.count("*").over(w))
+    if strict:
+        short = F.concat(F.lit(f"{n} rows are wanted of a group that has "), F.col("cnt").cast("string"))
+        ranked = ranked.withColumn("at", F.when(F.col("cnt") < n, F.raise_error(short).cast("int")).otherwise(F.col("at")))
     if n == 1:
-        return ranked.filter(F.col("at") == F.floor((F.col("cnt") - 1) / 2)).drop("at", "cnt")
+        return ranked.filter(F.col("at") == F.floor(F.col("cnt") / 2)).drop("at", "cnt")
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("cnt") - 1) / (n - 1)))
     return ranked.filter(F.array_contains(places, F.col("at").cast("bigint"))).drop("at", "cnt")
 
 
-def heatmap_stats(cells: DataFrame, key: str = "case_id") -> DataFrame:
-    """From cells (key, pos, y, x, v, inside, side): hit, energy, iou, distance, degenerate, roi_share of each heatmap."""
+def one_per_unit(df: DataFrame, unit: str, rank: Column, low: str | None = None) -> DataFrame:
+    """One row a unit: that of the lowest ``low``, if given, then of the least rank."""
+    order = ([F.col(low)] if low else []) + [rank]
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(unit).orderBy(*order))).filter("__nth = 1").drop("__nth")
+
+
+def split_quotas(df: DataFrame, n: int, splits: Sequence[str] = ("train", "val"), split: str = "split") -> dict[str, int]:
+    """How many of n rows each split gives, near its share, at least one where n allows, the last the rest."""
+    counts = {r[split]: r["n"] for r in df.groupBy(split).agg(F.count("*").alias("n")).filter(F.col(split).isin(*splits)).collect()}
+    total, there, out = df.count(), [s for s in splits if s in counts], {}
+    if total < n:
+        raise ValueError(f"{n} rows are wanted of {total}")
+    for i, s in enumerate(there):
+        left, after = n - sum(out.values()), len(there) - i - 1
+        share = max(1 if n >= len(there) else 0, round(n * counts[s] / total))
+        out[s] = min(share, counts[s], left - after) if after else left
+    return out
+
+
+def take_partitioned(df: DataFrame, n: int, strategy: str, rank: Column, metric: str, ident: str, taken: DataFrame | None = None, unit: str = "image_id", split: str = "split") -> DataFrame:
+    """n rows over the splits by their quotas: ``spread`` over the metric, ``lowest`` of it, or ``ranked`` by a stable rank.
+
+    Units of ``taken`` are left out.
+    """
+    if strategy not in ("spread", "lowest", "ranked"):
+        raise ValueError(f"no such strategy: {strategy}")
+    if taken is not None:
+        df = df.join(taken.select(unit).distinct(), unit, "left_anti")
+    parts = []
+    for name, quota in split_quotas(df, n, split=split).items():
+        own = df.filter(F.col(split) == name)
+        if quota and strategy == "spread":
+            parts.append(spread(own, [split], quota, metric, ident))
+        elif quota:
+            order = [F.col(metric), F.col(ident)] if strategy == "lowest" else [rank, F.col(ident)]
+            parts.append(own.orderBy(*order).limit(quota))
+    out = parts[0] if parts else df.limit(0)
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def context_window(boxes: DataFrame, margin_patches: float, height: Column, width: Column) -> DataFrame:
+    """Adds cy0, cy1, cx0, cx1: the box with a margin of so many patch sizes, cut at the frame."""
+    margin = F.bround(F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) * margin_patches).cast("int")
+    zero = F.lit(0)
+    return boxes.withColumns({"cy0": F.greatest(zero, F.col("y0") - margin), "cy1": F.least(height, F.col("y1") + margin), "cx0": F.greatest(zero, F.col("x0") - margin), "cx1": F.least(width, F.col("x1") + margin)})
+
+
+def heatmap_stats(cells: DataFrame, key: str = "case_id", threshold: float = 0.5) -> DataFrame:
+    """From cells (key, pos, y, x, v, inside, side): hit, energy, iou, distance, degenerate, roi_share of each heatmap.
+
+    The overlap is of cells at or over ``threshold``, 0 if there is nothing to
+    overlap; the distance is of cells at or over half the peak.
+    """
     peak = cells.withColumn("top", F.max("v").over(Window.partitionBy(key)))
-    hot, roi = F.col("v") >= 0.5 * F.col("top"), F.col("inside")
+    over, hot, roi = F.col("v") >= threshold, F.col("v") >= 0.5 * F.col("top"), F.col("inside")
     mean = lambda c, cond: F.avg(F.when(cond, F.col(c)))
     out = peak.groupBy(key).agg(
         F.max_by(F.col("inside"), F.struct("v", -F.col("pos"))).alias("hit"), F.try_divide(F.sum(F.when(roi, F.col("v")).otherwise(0.0)), F.sum("v")).alias("energy"),
-        F.try_divide(F.count_if(hot & roi), F.count_if(hot | roi)).alias("iou"), (F.max("top") <= 0).alias("degenerate"), (F.count_if(roi) / F.count("*")).alias("roi_share"),
+        F.coalesce(F.try_divide(F.count_if(over & roi), F.count_if(over | roi)), F.lit(0.0)).alias("iou"), (F.sum("v") <= 0).alias("degenerate"), (F.count_if(roi) / F.count("*")).alias("roi_share"),
         (F.hypot(mean("y", hot) - mean("y", roi), mean("x", hot) - mean("x", roi)) / (F.max("side") * F.sqrt(F.lit(2.0)))).alias("distance"),
     )
     return out.withColumn("energy", F.coalesce("energy", F.lit(0.0)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import missing, r6
 from ..operators import cohort as C
+from ..sources import tables
 from .views import ABN_SQL, SPLITS_SQL, abnormalities, pred_sql, predictions, splits, table, u_sql
 
 ALL: dict[str, tuple] = {}
@@ -278,11 +280,44 @@ def balanced_weights(spark, d):
     return pred.join(F.broadcast(n), "label").select("image_id", F.round(1.0 / F.col("n"), 9).alias("weight"))
 
 
-@query()
+@query(f"WITH s AS ({SPLITS_SQL}) SELECT split, count(*) AS rows, max(image_id) AS last FROM s GROUP BY 1")
 def sink_splits(spark, d):
-    """Image counts by split, of the table as a sink would write it."""
-    return splits(spark, d).repartition("split").groupBy("split").agg(F.count("*").alias("rows"), F.max("image_id").alias("last"))
+    """Image counts by split, of the tables as written and read again."""
+    path = tables.scratch(spark, "splits")
+    tables.write_splits(splits(spark, d), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("rows"), F.max("image_id").alias("last"))
+
+
+@query(f"WITH s AS ({SPLITS_SQL}) SELECT run_name, split, count(*) AS n, sum(label)::BIGINT AS positives FROM s WHERE split <> 'test' OR label = 1 GROUP BY ALL")
+def sink_predictions(spark, d):
+    """All predictions written, those of the test split then replaced alone."""
+    path, s = tables.scratch(spark, "predictions"), splits(spark, d)
+    tables.write_predictions(s, path)
+    tables.write_predictions(s.filter("split = 'test' and label = 1"), path)
+    return spark.read.parquet(path).groupBy("run_name", "split").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("positives"))
+
+
+@query(f"WITH s AS ({SPLITS_SQL}) SELECT split, count(*) AS n, TRUE AS first_written, FALSE AS second_written FROM s GROUP BY 1")
+def qa_package(spark, d):
+    """A package is written once; the second one, of other rows, is refused and changes nothing."""
+    path, s = tables.scratch(spark, "package"), splits(spark, d)
+    written = []
+    for rows in (s, s.filter("label = 1")):
+        try:
+            tables.write_package(rows, path)
+            written.append(True)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            written.append(False)
+    counts = spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+    return counts.select("*", F.lit(written[0]).alias("first_written"), F.lit(written[1]).alias("second_written"))
+
 
+@query()
+def scan_files(spark, d):
+    """The files of the tables' folder, with their sizes, contents unread."""
+    return tables.list_files(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "length")
 
 
 @query("SELECT p_partkey::VARCHAR AS image_id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS density, nullif(p_name, 'red ring') AS name FROM part")

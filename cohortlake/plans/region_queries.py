@@ -143,7 +143,25 @@ _ONE = f", q AS (SELECT *, {_METRIC} AS metric FROM m), u AS (SELECT *, row_numb
 def _review(spark, d):
     p = _patches(spark, d).withColumn("metric", keyed_uniform(9, F.col("image_id"), F.col("box_id")))
     one = p.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy("metric", "box_id"))).filter("k = 1")
-    return R.spread(one, ["split", "patch_class"], 4, "metric", "box_id")
+    return R.spread(one, ["split", "patch_class"], 4, "metric", "box_id", strict=False)
+
+
+@query(f"{X} m AS (SELECT *, round_even(greatest(y1 - y0, x1 - x0) * 0.75, 0)::INT AS margin FROM b) SELECT image_id, box_id, greatest(0, y0 - margin)::INT AS cy0, least(600, y1 + margin)::INT AS cy1, greatest(0, x0 - margin)::INT AS cx0, least(600, x1 + margin)::INT AS cx1 FROM m")
+def context_window(spark, d):
+    """The surroundings of each box in a frame of 600 by 600."""
+    out = R.context_window(boxes(spark, d), 0.75, F.lit(600), F.lit(600))
+    return out.select("image_id", "box_id", *[F.col(c).cast("int").alias(c) for c in ("cy0", "cy1", "cx0", "cx1")])
+
+
+@query()
+def review_strategies(spark, d):
+    """Six patches by each strategy, one an image, no image twice."""
+    p = _patches(spark, d).withColumns({"metric": keyed_uniform(9, F.col("image_id"), F.col("box_id")), "rank": keyed_uniform(10, F.col("image_id"), F.col("box_id"))})
+    one, taken = R.one_per_unit(p, "image_id", F.col("rank"), "metric"), None
+    for strategy in ("spread", "lowest", "ranked"):
+        chosen = R.take_partitioned(one, 6, strategy, F.col("rank"), "metric", "box_id", taken).withColumn("strategy", F.lit(strategy))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+    return taken.select("strategy", "split", "image_id", "box_id")
 
 
 @query(_PATCH + _ONE + " SELECT split, patch_class, image_id, box_id FROM sel")

@@ -198,7 +198,7 @@ def keyed_uniform_(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), keyed_uniform(7, F.col("o_orderkey")).alias("u"))
 
 
-RESAMPLES = 10
+RESAMPLES = 2000
 _BOOT = f"""out AS (SELECT patient_id, max(label) AS outcome FROM pred GROUP BY 1),
 num AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY patient_id) - 1 AS nth, count(*) OVER (PARTITION BY outcome) AS n FROM out),
 draw AS (SELECT b, outcome, floor({u_sql('42', 'b', 'outcome', 'nth')} * n)::INT AS nth FROM num, range({RESAMPLES}) r(b)),
@@ -288,15 +288,15 @@ def statistics(spark, d):
     return B.intervals(_boot_auc(spark, d, runs(spark, d)), ["run_name"])
 
 
-_CELLS = """e AS (SELECT vec_id AS case_id, unnest(embedding) AS v, unnest(range(64)) AS pos FROM embeddings), c AS (SELECT case_id, pos, greatest(v::DOUBLE, 0) AS v, pos // 8 AS y, pos % 8 AS x, (pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5) AS inside FROM e),
+_CELLS = """e AS (SELECT vec_id AS case_id, unnest(embedding) AS v, unnest(range(64)) AS pos FROM embeddings), c AS (SELECT case_id, pos, least(1, greatest(4 * v::DOUBLE, 0)) AS v, pos // 8 AS y, pos % 8 AS x, (pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5) AS inside FROM e),
 s AS (SELECT case_id, arg_max(inside, (v, -pos)) AS hit, sum(v) FILTER (inside) / sum(v) AS energy, max(v) AS top FROM c GROUP BY 1),
-i AS (SELECT case_id, count(*) FILTER (c.v >= 0.5 * top AND inside) / nullif(count(*) FILTER (c.v >= 0.5 * top OR inside), 0) AS iou FROM c JOIN s USING (case_id) GROUP BY 1)"""
+i AS (SELECT case_id, coalesce(count(*) FILTER (v >= 0.5 AND inside) / nullif(count(*) FILTER (v >= 0.5 OR inside), 0), 0) AS iou FROM c GROUP BY 1)"""
 
 
 def _heat(spark, d):
     from ..operators.regions import heatmap_stats
 
-    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.posexplode("embedding").alias("pos", "e")).select("case_id", "pos", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).alias("x"), F.greatest(F.col("e").cast("double"), F.lit(0.0)).alias("v"), F.lit(8.0).alias("side"))
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.posexplode("embedding").alias("pos", "e")).select("case_id", "pos", F.floor(F.col("pos") / 8).alias("y"), (F.col("pos") % 8).alias("x"), F.least(F.lit(1.0), F.greatest(4 * F.col("e").cast("double"), F.lit(0.0))).alias("v"), F.lit(8.0).alias("side"))
     return heatmap_stats(cells.withColumn("inside", F.col("y").between(2, 5) & F.col("x").between(2, 5)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,16 @@ def coerce(df: DataFrame, integers: list[str], strings: list[str]) -> DataFrame:
     return df.withColumns(new)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors both write: under spark.checkpoint.dir, a local one only in local sessions."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="scratch-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, length; the contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")

@@ -73,3 +73,58 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         T.write_package(df, str(tmp_path / "out"))
     assert T.list_files(spark, str(tmp_path), "*.csv").count() == 1
+
+
+def review_rows(n=40):
+    return [(f"i{k % 30}", k, "train" if k % 4 else "val", (k * 37 % 101) / 101, (k * 53 % 97) / 97) for k in range(n)]
+
+
+REVIEW = "image_id string, box_id int, split string, metric double, rank double"
+
+
+@pytest.mark.parametrize(("count", "n"), [(7, 1), (8, 1), (1, 1), (9, 4), (5, 5)])
+def test_spread_places(spark, count, n):
+    df = spark.createDataFrame([("g", i, i / 10) for i in range(count)], "g string, box_id int, metric double")
+    want = [count // 2] if n == 1 else [int(i * (count - 1) / (n - 1)) for i in range(n)]
+    assert sorted(r.box_id for r in R.spread(df, ["g"], n, "metric", "box_id").collect()) == want
+    with pytest.raises(Exception, match="rows are wanted"):
+        R.spread(df, ["g"], count + 1, "metric", "box_id").collect()
+
+
+@pytest.mark.parametrize("strategy", ["spread", "lowest", "ranked"])
+def test_review_by_quotas(spark, strategy):
+    rows = review_rows()
+    df = spark.createDataFrame(rows, REVIEW)
+    best = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[4])):
+        best.setdefault(r[0], r)
+    one = R.one_per_unit(df, "image_id", F.col("rank"), "metric")
+    assert sorted(map(tuple, one.collect())) == sorted(best.values())
+    units = {f"i{k}" for k in range(5)}
+    left = [r for r in best.values() if r[0] not in units]
+    train = [r for r in left if r[2] == "train"]
+    quota = min(max(1, round(6 * len(train) / len(left))), len(train), 5)
+    want = []
+    for name, k in (("train", quota), ("val", 6 - quota)):
+        own = sorted((r for r in left if r[2] == name), key=lambda r: (r[4], r[1]) if strategy == "ranked" else (r[3], r[1]))
+        places = range(k) if strategy != "spread" else [len(own) // 2] if k == 1 else [int(i * (len(own) - 1) / (k - 1)) for i in range(k)]
+        want += [own[i] for i in places]
+    taken = spark.createDataFrame([(u,) for u in units], "image_id string")
+    got = R.take_partitioned(one, 6, strategy, F.col("rank"), "metric", "box_id", taken)
+    assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(want)
+    with pytest.raises(ValueError, match="are wanted"):
+        R.take_partitioned(one, 99, strategy, F.col("rank"), "metric", "box_id")
+
+
+def test_heatmap_overlap_is_absolute(spark):
+    cell = lambda k, pos, v, inside: (k, pos, pos // 2, pos % 2, v, inside, 2.0)
+    rows = [cell("faint", p, v, p < 2) for p, v in enumerate((0.4, 0.3, 0.1, 0.0))] + [cell("strong", p, v, p < 2) for p, v in enumerate((0.9, 0.5, 0.6, 0.1))] + [cell("none", p, 0.0, False) for p in range(4)]
+    df = spark.createDataFrame(rows, "case_id string, pos int, y int, x int, v double, inside boolean, side double")
+    got = {r.case_id: (r.iou, r.degenerate) for r in R.heatmap_stats(df).collect()}
+    assert got == {"faint": (0.0, False), "strong": (2 / 3, False), "none": (0.0, True)}
+
+
+def test_context_is_cut_at_the_frame(spark):
+    df = spark.createDataFrame([(0, 0, 10, 4), (50, 80, 60, 99)], "y0 int, x0 int, y1 int, x1 int")
+    got = [(r.cy0, r.cy1, r.cx0, r.cx1) for r in R.context_window(df, 0.5, F.lit(100), F.lit(100)).collect()]
+    assert got == [(0, 15, 0, 9), (40, 70, 70, 100)]

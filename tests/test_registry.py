@@ -6,7 +6,7 @@ import pytest
 from cohortlake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["roc_auc", "youden", "collapse_images", "overlap_ledger", "roi_overlap", "bootstrap_ci", "verify_hashes"]
+SOME = ["roc_auc", "youden", "collapse_images", "overlap_ledger", "roi_overlap", "bootstrap_ci", "verify_hashes", "sink_splits", "sink_predictions", "qa_package", "context_window", "heatmap_roi", "heatmap_panel", "review_select"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
