@@ -33,7 +33,7 @@ from .shared import cut
 from .token_counts import load
 
 LENGTH = 2048
-_KEPT = 1 << 17
+_KEPT = 1 << 19
 _TAILS = {".", ","}
 
 
