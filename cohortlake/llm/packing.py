@@ -33,29 +33,34 @@ from .shared import cut
 from .token_counts import load
 
 LENGTH = 2048
-_KEPT = 1 << 19
+_KEPT = 1 << 18
 _TAILS = {".", ","}
 
 
 class WordIds:
-    """Ids of texts through a table of the units between spaces; rebuilt when it is full.
+    """Ids of texts through a table of the units between spaces.
+
+    A full table becomes the old one; a unit met again moves to the new one, so
+    frequent units stay and rare ones go, in at most twice ``_KEPT`` and a batch.
 
     Lower case is part of the model's rules for every character alone, as
     Python has it but for a final sigma; special strings are matched before it.
     """
 
     def __init__(self, tokenizer, code: str, lower: bool):
-        self.tokenizer, self.code, self.lower, self.known = tokenizer, code, lower, {}
+        self.tokenizer, self.code, self.lower, self.known, self.old = tokenizer, code, lower, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if self.lower and "<" not in t and "Σ" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > _KEPT:
-            self.known = {}
-            new = set().union(*split)
+        if len(self.known) > _KEPT:
+            self.known, self.old = {}, self.known
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((u, self.old[u]) for u in again)
+        new -= again
         # letters before a full stop or comma are a word of their own by the splitter's rules
         tails = [u for u in new if u[-1:] in _TAILS and u[:-1].isalpha()]
-        units = list((new.difference(tails) | {u[:-1] for u in tails} | {"."} | {","}).difference(self.known))
+        units = list((new.difference(tails) | {u[:-1] for u in tails} | _TAILS).difference(self.known))
         if units:
             encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
             self.known.update(zip(units, (array(self.code, e.ids).tobytes() for e in encoded), strict=True))

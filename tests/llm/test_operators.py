@@ -544,3 +544,23 @@ def test_crc_of_ids(docs):
     r = packing.packed_digest(docs.filter("doc_id = 0")).first()
     raw = packing.pack_sequences(docs.filter("doc_id = 0"), __import__("public_tokenizers").path("word_bpe_49k.json"), 1).first().ids
     assert r.ids_crc32 == zlib.crc32(raw) and hashlib.sha256(raw).digest()
+
+
+def test_word_ids_are_the_same_whenever_the_table_turns(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from cohortlake.llm import packing
+    from cohortlake.llm.token_counts import load
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        tokenizer = load(file.read())
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdeé", k=draw.randint(1, 9))) + draw.choice(["", "", ",", "."]) for _ in range(300)]
+    batches = [[" ".join(draw.choices(words, k=40)) for _ in range(4)] for _ in range(30)]
+    monkeypatch.setattr(packing, "_KEPT", 60)
+    ids = packing.WordIds(tokenizer, "I", True)
+    for texts in batches:
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [list(memoryview(x).cast("I")) for x in ids(texts)] == want
+        assert len(ids.known) <= 60 + 2 * 160 and len(ids.old) <= 60 + 2 * 160
