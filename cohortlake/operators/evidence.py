@@ -33,3 +33,16 @@ def homogeneous(runs: DataFrame, columns: list[str]) -> DataFrame:
     agg = runs.agg(*[F.struct(F.count_distinct(c).alias("n_values"), F.count_if(F.col(c).isNull()).alias("n_null")).alias(c) for c in columns])
     rows = F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"{c}.n_values").alias("n_values"), F.col(f"{c}.n_null").alias("n_null")) for c in columns]))
     return agg.select(rows).filter("n_values <> 1 or n_null > 0")
+
+
+def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, side of each value that only one side has; no rows if the sets are equal."""
+    both = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    side = F.when(F.max("l") > F.max("r"), "left").when(F.max("l") < F.max("r"), "right")
+    return both.groupBy(key).agg(side.alias("side")).filter("side is not null")
+
+
+def incomplete(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, missing: the names of the columns that a record has null or blank, in the order given."""
+    names = F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in columns])
+    return records.select(key, F.array_join(names, ",").alias("missing")).filter("missing <> ''")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keyed_uniform
+
 
 def roi_overlap(boxes: DataFrame, runs: DataFrame, image: str = "image_id") -> DataFrame:
     """The boxes with px, coverage, fraction, score against mask runs (y, xs, xe); no pixels give 0.
@@ -30,6 +32,34 @@ def free_boxes(boxes: DataFrame, rois: DataFrame, image: str = "image_id") -> Da
     return b.join(r, touch, "left_anti")
 
 
+def background_boxes(images: DataFrame, rois: DataFrame, tissue: DataFrame, n: int, size: int, attempts: int, seed: int, height: int, width: int, least: float = 0.5, image: str = "image_id") -> DataFrame:
+    """image, place, y0, x0, y1, x1, tissue_fraction, anchor: the first n of ``attempts`` drawn boxes an image.
+
+    A box counts once, touches none of ``rois`` and has ``least`` of its area
+    in ``tissue`` (disjoint rectangles). Boxes are anchored to the image's
+    regions (box_id) in turn; an image without regions has no anchor. A frame
+    under ``size`` gives no rows.
+    """
+
+    def draw(axis: str, room: int) -> Column:
+        return F.floor(keyed_uniform(seed, F.col(image), F.col("attempt"), axis) * (room - size + 1)).cast("int")
+
+    tries = images.select(image).distinct().withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    if min(height, width) < size:
+        tries = tries.limit(0)
+    drawn = tries.withColumns({"y0": draw("y", height), "x0": draw("x", width)}).groupBy(image, "y0", "x0").agg(F.min("attempt").alias("attempt"))
+    free = free_boxes(drawn.withColumns({"y1": F.col("y0") + size, "x1": F.col("x0") + size}), rois, image)
+    b, t = free.alias("b"), tissue.alias("t")
+    meet = (F.col(f"b.{image}") == F.col(f"t.{image}")) & (F.col("b.y0") < F.col("t.y1")) & (F.col("b.y1") > F.col("t.y0")) & (F.col("b.x0") < F.col("t.x1")) & (F.col("b.x1") > F.col("t.x0"))
+    area = (F.least("b.y1", "t.y1") - F.greatest("b.y0", "t.y0")) * (F.least("b.x1", "t.x1") - F.greatest("b.x0", "t.x0"))
+    share = b.join(t, meet).groupBy("b." + image, "b.y0", "b.x0", "b.y1", "b.x1", "b.attempt").agg((F.sum(area) / size**2).alias("tissue_fraction"))
+    place = F.row_number().over(Window.partitionBy(image).orderBy("attempt"))
+    chosen = share.filter(F.col("tissue_fraction") >= least).withColumn("place", place).filter(F.col("place") <= n).drop("attempt")
+    own = rois.withColumns({"turn": F.row_number().over(Window.partitionBy(image).orderBy("box_id")) - 1}).filter(F.col("turn") < n)
+    own = own.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "box_id"))), lambda r: r["box_id"]).alias("ids"))
+    return chosen.join(own, image, "left").withColumn("anchor", F.get("ids", (F.col("place") - 1) % F.size("ids"))).drop("ids")
+
+
 def best_boxes(scored: DataFrame, unit: Sequence[str], k: int, cutoff: float) -> DataFrame:
     """The k best boxes a unit, those over the cutoff first; the rest carry a reason."""
     w = Window.partitionBy(*unit)

@@ -71,6 +71,29 @@ def bg_boxes(spark, d):
     return R.free_boxes(b.filter("pathology <> 'MALIGNANT'"), b.filter("pathology = 'MALIGNANT'")).select("image_id", "box_id")
 
 
+def _draw_sql(axis: str) -> str:
+    return f"floor({u_sql(chr(39) + '42' + chr(39), 'image_id', 'attempt', chr(39) + axis + chr(39))} * 513)::INT"
+
+
+_BACKGROUND = f"""i AS (SELECT DISTINCT image_id FROM b),
+a AS (SELECT image_id, unnest(range(30)) AS attempt FROM i),
+d AS (SELECT image_id, {_draw_sql("y")} AS y0, {_draw_sql("x")} AS x0, min(attempt) AS attempt FROM a GROUP BY ALL),
+f AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.image_id = d.image_id AND d.y0 < b.y1 AND d.y0 + 96 > b.y0 AND d.x0 < b.x1 AND d.x0 + 96 > b.x0)),
+t AS (SELECT *, greatest(0, least(x0 + 96, 150 + image_id % 300) - x0) * 96 / 9216 AS share FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY attempt) AS place FROM t WHERE share >= 0.5),
+g AS (SELECT image_id, list(box_id ORDER BY box_id) AS ids FROM b GROUP BY 1)
+SELECT image_id, place, y0, x0, round(share, 6) AS tissue_fraction, ids[((place - 1) % len(ids) + 1)::INT] AS anchor FROM p JOIN g USING (image_id) WHERE place <= 3"""
+
+
+@query(X + _BACKGROUND)
+def background_boxes(spark, d):
+    """Three boxes an image off all regions, half on tissue, which lies left of a column of the image."""
+    b = boxes(spark, d)
+    tissue = b.select("image_id").distinct().select("image_id", F.lit(0).alias("y0"), F.lit(608).alias("y1"), F.lit(0).alias("x0"), (150 + F.col("image_id") % 300).alias("x1"))
+    out = R.background_boxes(b, b, tissue, n=3, size=96, attempts=30, seed=42, height=608, width=608)
+    return out.select("image_id", "place", "y0", "x0", r6(F.col("tissue_fraction")).alias("tissue_fraction"), "anchor")
+
+
 @query(X + f"{_RUNS}, {_HIT}, w AS (SELECT *, count(*) FILTER (score >= 0.1) OVER (PARTITION BY image_id) AS took, row_number() OVER (PARTITION BY image_id ORDER BY (score >= 0.1) DESC, score DESC, y0, x0, box_id) AS place FROM o) SELECT image_id, box_id, place, CASE WHEN score < 0.1 THEN 'insufficient_overlap_0.1:' || least(took, 2) || '/2' END AS fallback_reason FROM w WHERE place <= 2")
 def lesion_boxes(spark, d):
     return R.best_boxes(_scored(spark, d), ["image_id"], 2, 0.1).select("image_id", "box_id", "place", "fallback_reason")
@@ -90,6 +113,20 @@ _IDS = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES))
 _PC = f"c AS (SELECT *, {_CLASS} AS patch_class FROM b)"
 
 
+@query(X + f"""{_PC}, r AS (SELECT CASE WHEN y0 % 50 = 0 THEN 'unknown' ELSE patch_class END AS patch_class, CASE patch_class {_IDS} END + (x0 % 40 = 1)::INT AS class_id, CASE WHEN x0 % 30 = 2 THEN NULL ELSE box_id END AS box_id FROM c)
+SELECT 'known_class' AS rule, count(*) AS n FROM r WHERE patch_class = 'unknown' HAVING count(*) > 0
+UNION ALL SELECT 'id_of_class', count(*) FROM r WHERE patch_class = 'unknown' OR class_id <> CASE patch_class {_IDS} END HAVING count(*) > 0
+UNION ALL SELECT 'path', count(*) FROM r WHERE box_id IS NULL HAVING count(*) > 0""")
+def reader_rules(spark, d):
+    """Rules of the patch reader on a manifest with padded names, unknown classes, wrong ids and lost paths."""
+    c = _classed(spark, d)
+    raw = c.select(F.concat(F.lit(" "), F.when(F.col("y0") % 50 == 0, "unknown").otherwise(F.col("patch_class"))).alias("patch_class"), (F.col("class_id") + (F.col("x0") % 40 == 1).cast("int")).alias("class_id"), F.when(F.col("x0") % 30 == 2, " ").otherwise(F.col("box_id")).alias("patch_path"))
+    clean = raw.withColumns({x: F.nullif(F.trim(x), F.lit("")) for x in ("patch_class", "patch_path")})
+    ids = F.create_map(*[F.lit(x) for i, name in enumerate(CLASSES) for x in (name, i)])
+    rules = {"known_class": F.col("patch_class").isin(*CLASSES), "id_of_class": ids[F.col("patch_class")] == F.col("class_id"), "path": F.col("patch_path").isNotNull()}
+    return C.violations(clean, rules)
+
+
 @query(X + f"{_PC} SELECT box_id, image_id, patch_class, CASE patch_class {_IDS} END AS class_id FROM c")
 def patch_class(spark, d):
     return _classed(spark, d).select("box_id", "image_id", "patch_class", "class_id")

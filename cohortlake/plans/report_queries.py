@@ -50,6 +50,23 @@ def freeze_checks(spark, d):
     return E.homogeneous(c, ["same", "c_nationkey", "c_mktsegment"])
 
 
+@query("WITH s AS (SELECT DISTINCT o_custkey AS model FROM orders WHERE o_orderkey % 3 > 0 UNION SELECT -s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) SELECT coalesce(c_custkey, model) AS model, CASE WHEN model IS NULL THEN 'left' ELSE 'right' END AS side FROM customer FULL JOIN s ON c_custkey = model WHERE c_custkey IS NULL OR model IS NULL")
+def freeze_models(spark, d):
+    """Models that only the metrics (left) or only the statistics (right) hold."""
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("model"))
+    right = table(spark, d, "orders").filter("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("model"))
+    more = table(spark, d, "supplier").filter("s_suppkey % 7 = 0").select((-F.col("s_suppkey")).alias("model"))
+    return E.set_differences(left, right.unionByName(more), "model")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_nationkey < 5 THEN 'commit,source' ELSE 'commit' END ELSE 'source' END AS missing FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey < 5")
+def freeze_complete(spark, d):
+    """Run records without a commit or a source."""
+    commit = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    source = F.when(F.col("c_nationkey") < 5, " ").otherwise(F.col("c_nationkey").cast("string"))
+    return E.incomplete(table(spark, d, "customer").select("c_custkey", commit.alias("commit"), source.alias("source")), "c_custkey", ["commit", "source"])
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE abs(round(s_acctbal, 1) - s_acctbal) > 0.02")
 def locked_point(spark, d):
     a = table(spark, d, "supplier")

@@ -205,32 +205,71 @@ draw AS (SELECT b, outcome, floor({u_sql('42', 'b', 'outcome', 'nth')} * n)::INT
 wt AS (SELECT b, patient_id, count(*) AS weight FROM draw JOIN num USING (outcome, nth) GROUP BY ALL)"""
 
 
-def _boot_sql(src: str) -> str:
-    return f"""{_BOOT}, cnt AS (SELECT run_name, b, probability AS threshold, sum(label * weight) AS tp, sum((1 - label) * weight) AS fp FROM {src} JOIN wt USING (patient_id) GROUP BY ALL),
-run AS (SELECT *, sum(tp) OVER w AS tps, sum(tp) OVER (PARTITION BY run_name, b) AS pos, sum(fp) OVER (PARTITION BY run_name, b) AS neg FROM cnt WINDOW w AS (PARTITION BY run_name, b ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
-val AS (SELECT run_name, b, {_AUC} AS value FROM run GROUP BY 1, 2)"""
+def _rate(a: str, b: str) -> str:
+    return f"coalesce({a} / nullif({b}, 0), 0)::DOUBLE"
+
+
+def _loss(q: str) -> str:
+    return f"-ln(CASE WHEN label = 1 THEN greatest(1e-7, least(1 - 1e-7, {q})) ELSE 1 - greatest(1e-7, least(1 - 1e-7, {q})) END)"
 
 
-def _boot_auc(spark, d, pred=None):
+_VALUES = {
+    "accuracy": "((tp + tn) / n)::DOUBLE", "sensitivity": _rate("tp", "tp + fn"), "specificity": _rate("tn", "tn + fp"), "ppv": _rate("tp", "tp + fp"), "npv": _rate("tn", "tn + fn"), "f1": _rate("2 * tp", "2 * tp + fp + fn"),
+    "brier_score": "sq / n", "negative_log_likelihood": "lg / n", "calibrated_brier_score": "csq / n", "calibrated_negative_log_likelihood": "clg / n",
+    "sensitivity_at_fixed_specificity": _rate("ftp", "tp + fn"), "specificity_at_fixed_specificity": _rate("ftn", "tn + fp"),
+    "calcification_sensitivity_at_fixed_specificity": "(chit / nullif(cpos, 0))::DOUBLE", "dense_breast_sensitivity_at_fixed_specificity": "(dhit / nullif(dpos, 0))::DOUBLE",
+}
+
+
+def _boot_sql(src: str) -> str:
+    """wt and val (run_name, b, metric, value): each metric from the resampled rows."""
+    pos, neg, hit, fix = "label = 1", "label = 0", "probability >= threshold", "probability >= fixed"
+    cells = {"tp": f"{hit} AND {pos}", "fp": f"{hit} AND {neg}", "fn": f"NOT {hit} AND {pos}", "tn": f"NOT {hit} AND {neg}", "ftp": f"{fix} AND {pos}", "ftn": f"NOT {fix} AND {neg}"}
+    cells |= {"cpos": f"lesion_type = 'calcification' AND {pos}", "chit": f"lesion_type = 'calcification' AND {pos} AND {fix}", "dpos": f"density = 4 AND {pos}", "dhit": f"density = 4 AND {pos} AND {fix}"}
+    sums = ", ".join(f"sum(weight) FILTER ({c}) AS {k}" for k, c in cells.items())
+    zero = ", ".join(f"coalesce({k}, 0) AS {k}" for k in cells)
+    long = " UNION ALL ".join(f"SELECT run_name, b, '{k}' AS metric, {v} AS value FROM lin" for k, v in _VALUES.items())
+    return f"""{_BOOT}, {_curve(src)},
+cut AS (SELECT k AS run_name, arg_max(threshold, (tpr - fpr, threshold)) AS threshold, arg_min(threshold, (-tpr, threshold)) FILTER (fpr <= 0.2 + 1e-12 AND NOT isinf(threshold)) AS fixed FROM roc GROUP BY 1),
+x AS (SELECT s.*, threshold, fixed, 1 / (1 + exp(-ln(greatest(1e-7, least(1 - 1e-7, probability)) / (1 - greatest(1e-7, least(1 - 1e-7, probability)))) / 1.5)) AS calibrated FROM {src} s JOIN cut USING (run_name)),
+raw AS (SELECT run_name, b, sum(weight) AS n, {sums}, sum(weight * (probability - label) ** 2) AS sq, sum(weight * {_loss("probability")}) AS lg, sum(weight * (calibrated - label) ** 2) AS csq, sum(weight * {_loss("calibrated")}) AS clg FROM x JOIN wt USING (patient_id) GROUP BY 1, 2),
+lin AS (SELECT run_name, b, n, {zero}, sq, lg, csq, clg FROM raw),
+bcnt AS (SELECT run_name, b, probability AS threshold, sum(label * weight) AS tp, sum((1 - label) * weight) AS fp FROM {src} JOIN wt USING (patient_id) GROUP BY ALL),
+brun AS (SELECT *, sum(tp) OVER w AS tps, sum(fp) OVER w AS fps, sum(tp) OVER (PARTITION BY run_name, b) AS pos, sum(fp) OVER (PARTITION BY run_name, b) AS neg FROM bcnt WINDOW w AS (PARTITION BY run_name, b ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+rk AS (SELECT run_name, b, ({_AUC})::DOUBLE AS auc, ({_AP.replace("(tps / (tps + fps))", "(tps / nullif(tps + fps, 0))")})::DOUBLE AS ap FROM brun GROUP BY 1, 2),
+val AS ({long} UNION ALL SELECT run_name, b, 'auc', auc FROM rk UNION ALL SELECT run_name, b, 'average_precision', ap FROM rk)"""
+
+
+def _boot_values(spark, d, pred=None):
+    """All metrics of each run and resample, at the run's own thresholds of all rows."""
     base = predictions(spark, d)
-    weights = B.bootstrap_weights(base, RESAMPLES, 42)
-    counts = B.weighted_counts(base if pred is None else pred, weights, ["run_name"])
-    return S.rank_metrics(counts, ["run_name", "b"]).select("run_name", "b", F.col("auc").alias("value"))
+    pred = base if pred is None else pred
+    roc = S.roc_points(S.score_counts(pred, ["run_name"]), ["run_name"])
+    cut = S.youden(roc, ["run_name"]).join(S.threshold_at_specificity(roc, 0.8, ["run_name"]).withColumnRenamed("threshold", "fixed"), "run_name")
+    full = pred.join(cut, "run_name").withColumn("calibrated", clipped_sigmoid(clipped_logit(F.col("probability")), 1.5))
+    return B.metric_values(full, B.bootstrap_weights(base, RESAMPLES, 42), ["run_name"])
 
 
-@query(P + _boot_sql("pred") + " SELECT run_name, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_valid FROM val GROUP BY 1")
+_INTERVALS = " SELECT run_name, metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_valid FROM val GROUP BY 1, 2"
+
+
+def _intervals(values):
+    return B.intervals(values, ["run_name", "metric"]).select("run_name", "metric", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_valid")
+
+
+@query(P + _boot_sql("pred") + _INTERVALS)
 def bootstrap_ci(spark, d):
-    return B.intervals(_boot_auc(spark, d), ["run_name"]).select("run_name", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_valid")
+    return _intervals(_boot_values(spark, d))
 
 
-_DIFF = "d AS (SELECT a.value - c.value AS v FROM val a JOIN val c ON a.b = c.b WHERE a.run_name = 'model' AND c.run_name = 'model_seed7')"
+_DIFF = f"d AS (SELECT metric, a.value - c.value AS v FROM val a JOIN val c USING (b, metric) WHERE a.run_name = 'model' AND c.run_name = 'model_seed7' AND metric IN {B.PAIRED})"
 
 
-@query(P + _boot_sql("runs") + f", {_DIFF} SELECT round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(v) AS n_valid, round(least(1, 2 * least((count(*) FILTER (v <= 0) + 1) / (count(*) + 1), (count(*) FILTER (v >= 0) + 1) / (count(*) + 1))), 6) AS p FROM d")
+@query(P + _boot_sql("runs") + f", {_DIFF} SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(v) AS n_valid, round(least(1, 2 * least((count(*) FILTER (v <= 0) + 1) / (count(v) + 1), (count(*) FILTER (v >= 0) + 1) / (count(v) + 1))), 6) AS p FROM d GROUP BY 1")
 def paired_ci(spark, d):
-    v = _boot_auc(spark, d, runs(spark, d))
-    out = B.paired(v.filter("run_name = 'model'"), v.filter("run_name = 'model_seed7'"))
-    return out.select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_valid", r6(F.col("p")).alias("p"))
+    v = _boot_values(spark, d, runs(spark, d).filter("run_name <> 'model_seed2026'")).filter(F.col("metric").isin(*B.PAIRED))
+    out = B.paired(v.filter("run_name = 'model'"), v.filter("run_name = 'model_seed7'"), ["metric"])
+    return out.select("metric", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_valid", r6(F.col("p")).alias("p"))
 
 
 @query(P + _curve("runs") + f", a AS (SELECT k AS run_name, {_AUC} AS value FROM run GROUP BY k) SELECT regexp_replace(run_name, '_seed[0-9]+$', '') AS \"group\", count(*) AS n_seeds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS low, round(max(value), 6) AS high FROM a GROUP BY 1 HAVING count(*) >= 3")
@@ -282,10 +321,10 @@ def external_audit(spark, d):
     return out.withColumns({c: r6(F.col(c)) for c in RATES})
 
 
-@query()
+@query(P + _boot_sql("runs") + _INTERVALS)
 def statistics(spark, d):
-    """Intervals of all runs over shared resamples."""
-    return B.intervals(_boot_auc(spark, d, runs(spark, d)), ["run_name"])
+    """Intervals of all metrics and runs over shared resamples."""
+    return _intervals(_boot_values(spark, d, runs(spark, d)))
 
 
 _CELLS = """e AS (SELECT vec_id AS case_id, unnest(embedding) AS v, unnest(range(64)) AS pos FROM embeddings), c AS (SELECT case_id, pos, least(1, greatest(4 * v::DOUBLE, 0)) AS v, pos // 8 AS y, pos % 8 AS x, (pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5) AS inside FROM e),
