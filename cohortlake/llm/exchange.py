@@ -24,7 +24,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType, NumericType
@@ -84,6 +83,8 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     ranges of its own, as null or any other may, is cut by the hash of its
     texts instead. Ids may be of any type that Spark can order.
     """
+    from pyspark.ml.feature import Bucketizer  # here, so that workers, which import this module, do not hold pyspark.ml
+
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
