@@ -192,7 +192,7 @@ def told(dealt: Dealt, answers: DataFrame, step: Callable[[int, Group, dict[int,
     return dealt.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int = 2 << 20) -> Iterable[pa.Table]:
+def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int = 1 << 20) -> Iterable[pa.Table]:
     """Arrow batches cut into tables of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
