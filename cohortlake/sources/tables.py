@@ -37,6 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the folder of spark.checkpoint.dir, a temporary one only in local sessions."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, length; the contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
