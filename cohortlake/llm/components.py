@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small
 
 
-def salted_join(rows: DataFrame, named: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """Inner join of rows, of which very many may hold one key, with a table of one row a key.
+def salted_join(rows: DataFrame, named: DataFrame, key: str, spread: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join, inner or left, of rows, of which very many may hold one key, with a table of one row a key.
 
     The rows are spread over ``salts`` tasks a key by their ``spread`` column, the
     table is repeated as often.
     """
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = named.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str, spread: str, row_bytes: int, how: str = "inner") -> DataFrame:
+    """``salted_join`` with a cut table, or a broadcast of it if its counted rows of ``row_bytes`` are few."""
+    bounded = small(named, row_bytes)
+    return salted_join(rows, named, key, spread, how=how) if bounded is named else rows.join(bounded, key, how)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

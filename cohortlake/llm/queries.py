@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .byte_dedup import op9_suffix_dedup
+from .exact_dedup import OP12_SQL, op12_exact_dedup
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .ngram_lm import op10_ngram_lm
 from .packing import op5_packing
 from .pieces import op7_sentencepiece
@@ -13,6 +15,9 @@ from .token_counts import op3_token_counts
 from .toxicity import op1_toxicity_crf
 from .word_dedup import op2_word_window_dedup
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_word_window_dedup, op3_token_counts, op4_simhash_bktree, op5_packing, op6_quality_rules, op7_sentencepiece, op8_ann, op9_suffix_dedup, op10_ngram_lm)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity_crf, op2_word_window_dedup, op3_token_counts, op4_simhash_bktree, op5_packing, op6_quality_rules, op7_sentencepiece, op8_ann, op9_suffix_dedup, op10_ngram_lm, op12_exact_dedup, op13_filter_audit)
+}
 
-SQL = {"op6_quality_rules": OP6_SQL}
+SQL = {"op6_quality_rules": OP6_SQL, "op12_exact_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
