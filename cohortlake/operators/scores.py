@@ -2,18 +2,19 @@
 
 Rows are collapsed to distinct scores first, so thresholds, curves and
 resamples work on counts. Every function takes ``keys``: all runs, subsets or
-strata go through one job. A window over one huge key without others runs in
-one task; give keys that split it.
+strata go through one job. Running counts go over ranges of scores, so one run of
+very many scores, with or without keys, fills many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bin_of
+from .prefix import along
 
 Keys = Sequence[str]
 ONE = ("__one",)
@@ -29,33 +30,30 @@ def score_counts(pred: DataFrame, keys: Keys = (), p: str = "probability", y: st
     return pred.groupBy(*keys, F.col(p).alias("threshold")).agg(F.sum(w * F.col(y)).alias("tp"), F.sum(w * (1 - F.col(y))).alias("fp"))
 
 
-def running(counts: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Adds tps, fps (at the score or above), pos, neg."""
-    df, k = _keyed(counts, keys)
-    down = Window.partitionBy(*k).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*k)
-    out = df.select("*", F.sum("tp").over(down).alias("tps"), F.sum("fp").over(down).alias("fps"), F.sum("tp").over(whole).alias("pos"), F.sum("fp").over(whole).alias("neg"))
-    return out.drop(*ONE)
+def running(counts: DataFrame, keys: Keys = (), parts: int | None = None) -> DataFrame:
+    """Adds at (the place from the highest score), tps, fps (at the score or above), next_tp, next_fp (of the next lower score), pos, neg."""
+    tp, fp = F.col("tp"), F.col("fp")
+    return along(counts, keys, [-F.col("threshold")], sums={"at": F.lit(1).cast("bigint"), "tps": tp, "fps": fp}, nexts={"next_tp": tp, "next_fp": fp}, wholes={"pos": tp, "neg": fp}, parts=parts)
 
 
-def rank_metrics(counts: DataFrame, keys: Keys = ()) -> DataFrame:
+def rank_metrics(counts: DataFrame, keys: Keys = (), parts: int | None = None) -> DataFrame:
     """keys, pos, neg, auc (ties half; null with one class), average_precision."""
-    run = running(counts, keys)
+    run = running(counts, keys, parts)
     area = F.sum(F.col("fp") * (F.col("tps") - F.col("tp") / 2))
     ap = F.sum(F.try_divide(F.col("tp"), F.col("pos")) * F.try_divide(F.col("tps"), F.col("tps") + F.col("fps")))
     return run.groupBy(*keys).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), area.alias("area"), ap.alias("average_precision")).select(*keys, "pos", "neg", F.try_divide("area", F.col("pos") * F.col("neg")).alias("auc"), "average_precision")
 
 
-def roc_points(counts: DataFrame, keys: Keys = (), drop_intermediate: bool = True) -> DataFrame:
-    """keys, threshold, fpr, tpr; straight runs keep their ends; (inf, 0, 0) first."""
-    run, k = _keyed(running(counts, keys), keys)
-    w = Window.partitionBy(*k).orderBy(F.desc("threshold"))
-    bend = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    if drop_intermediate:
-        run = run.withColumn("__f", bend("fps")).withColumn("__t", bend("tps")).filter("__f is null or __t is null or __f <> 0 or __t <> 0")
-    points = run.select(*keys, "threshold", F.try_divide("fps", "neg").alias("fpr"), F.try_divide("tps", "pos").alias("tpr"))
-    ends = counts.select(*keys).distinct() if keys else counts.agg(F.count("*").alias("__n")).filter("__n > 0").select()
-    return points.unionByName(ends.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+def roc_points(counts: DataFrame, keys: Keys = (), drop_intermediate: bool = True, parts: int | None = None) -> DataFrame:
+    """keys, threshold, fpr, tpr; straight runs keep their ends; (inf, 0, 0) first.
+
+    A point lies on a straight run if the step to it equals the step from it,
+    and steps are the counts at the scores.
+    """
+    run = running(counts, keys, parts)
+    kept = run.filter("at = 1 or next_tp is null or next_tp <> tp or next_fp <> fp") if drop_intermediate else run
+    points = kept.select(*keys, "threshold", F.try_divide("fps", "neg").alias("fpr"), F.try_divide("tps", "pos").alias("tpr"))
+    return points.unionByName(run.filter("at = 1").select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def youden(roc: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -64,17 +62,22 @@ def youden(roc: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def threshold_at_specificity(roc: DataFrame, target: float, keys: Keys = ()) -> DataFrame:
-    """keys, threshold: best tpr with fpr <= 1 - target, then the lowest finite threshold."""
+    """keys, threshold: best tpr with fpr <= 1 - target, then the lowest finite threshold.
+
+    A tpr is the best if it is within 1e-8 and 1e-5 of its share of the largest.
+    """
     ok = roc.filter((F.col("fpr") <= 1 - target + 1e-12) & (F.col("threshold") < float("inf")))
-    return ok.groupBy(*keys).agg(F.min_by("threshold", F.struct(-F.col("tpr"), F.col("threshold"))).alias("threshold"))
+    df, k = _keyed(ok, keys)
+    best = df.groupBy(*k).agg(F.max("tpr").alias("__best"))
+    close = F.abs(F.col("tpr") - F.col("__best")) <= 1e-8 + 1e-5 * F.col("__best")
+    return df.join(best, k).filter(close).groupBy(*k).agg(F.min("threshold").alias("threshold")).drop(*ONE)
 
 
-def pr_points(counts: DataFrame, keys: Keys = ()) -> DataFrame:
+def pr_points(counts: DataFrame, keys: Keys = (), parts: int | None = None) -> DataFrame:
     """keys, threshold, precision, recall; the end (null, 1, 0) has no threshold."""
-    run = running(counts, keys)
+    run = running(counts, keys, parts)
     points = run.select(*keys, "threshold", F.try_divide("tps", F.col("tps") + F.col("fps")).alias("precision"), F.try_divide("tps", "pos").alias("recall"))
-    ends = counts.select(*keys).distinct() if keys else counts.agg(F.count("*").alias("__n")).filter("__n > 0").select()
-    return points.unionByName(ends.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
+    return points.unionByName(run.filter("at = 1").select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
 def panel(pred: DataFrame, threshold: Column, keys: Keys = (), p: str = "probability", y: str = "label") -> DataFrame:

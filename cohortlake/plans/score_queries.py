@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clipped_logit, clipped_sigmoid, keyed_uniform, r6
 from ..operators import bootstrap as B
 from ..operators import scores as S
+from ..operators.resample import weight_vectors
 from .views import RUNS_SQL, SPLITS_SQL, pred_sql, predictions, runs, splits, table, u_sql
 
 ALL: dict[str, tuple] = {}
@@ -247,7 +248,7 @@ def _boot_values(spark, d, pred=None):
     roc = S.roc_points(S.score_counts(pred, ["run_name"]), ["run_name"])
     cut = S.youden(roc, ["run_name"]).join(S.threshold_at_specificity(roc, 0.8, ["run_name"]).withColumnRenamed("threshold", "fixed"), "run_name")
     full = pred.join(cut, "run_name").withColumn("calibrated", clipped_sigmoid(clipped_logit(F.col("probability")), 1.5))
-    return B.metric_values(full, B.bootstrap_weights(base, RESAMPLES, 42), ["run_name"])
+    return B.metric_values(full, weight_vectors(base, RESAMPLES, 42), RESAMPLES, ["run_name"])
 
 
 _INTERVALS = " SELECT run_name, metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_valid FROM val GROUP BY 1, 2"
