@@ -46,3 +46,30 @@ def incomplete(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, missing: the names of the columns that a record has null or blank, in the order given."""
     names = F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in columns])
     return records.select(key, F.array_join(names, ",").alias("missing")).filter("missing <> ''")
+
+
+def freeze_record(files: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """keys, n_files, size_bytes, ordered_digest, fingerprint, files: a record of described files (place, path, size_bytes, sha256).
+
+    ``ordered_digest`` is the SHA-256 over the files' hashes in order of place,
+    ``fingerprint`` that over path and hash of each in order of path. A record lists
+    its inputs, so it has as many entries as a run has files.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(place, "path", "sha256"))), lambda f: f["sha256"])
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat(f["path"], f["sha256"]))
+    listed = F.array_sort(F.collect_list(F.struct(place, "path", "size_bytes", "sha256")))
+    return files.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("ordered_digest"), F.sha2(F.array_join(sorted_, ""), 256).alias("fingerprint"), listed.alias("files"))
+
+
+def freeze_differences(frozen: DataFrame, now: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """keys, path, difference of a frozen record and the files as they are: added, removed, changed or moved (another place, same content).
+
+    Runs whose two digests both agree are passed over; of the others each file is
+    compared once. No rows: nothing differs.
+    """
+    later = freeze_record(now, keys, place).select(*keys, F.col("ordered_digest").alias("__o"), F.col("fingerprint").alias("__f"), F.col("files").alias("__files"))
+    both = frozen.join(later, keys, "full").filter(~(F.col("ordered_digest").eqNullSafe(F.col("__o")) & F.col("fingerprint").eqNullSafe(F.col("__f"))))
+    old = both.select(*keys, F.inline("files")).select(*keys, "path", F.struct(place, "sha256").alias("old"))
+    new = both.select(*keys, F.inline("__files")).select(*keys, "path", F.struct(place, "sha256").alias("new"))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old.sha256") != F.col("new.sha256"), "changed").when(F.col(f"old.{place}") != F.col(f"new.{place}"), "moved")
+    return old.join(new, [*keys, "path"], "full").select(*keys, "path", kind.alias("difference")).filter("difference is not null")

@@ -7,24 +7,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import keyed_uniform
+from ..functions import box_from_center, keyed_uniform
+from .prefix import along
+
+
+BAND = 64  # rows of an image that meet in one task
 
 
 def roi_overlap(boxes: DataFrame, runs: DataFrame, image: str = "image_id") -> DataFrame:
     """The boxes with px, coverage, fraction, score against mask runs (y, xs, xe); no pixels give 0.
 
-    The image equality keeps the range conditions a residual of a hash or merge join.
+    A box meets only the runs of the bands of rows that it covers, so the join is
+    on (image, band) and an image of very many boxes fills many tasks. Boxes and
+    runs are the distinct ones of their image.
     """
     area = runs.groupBy(image).agg(F.sum(F.col("xe") - F.col("xs")).alias("area"))
-    hit = boxes.alias("b").join(runs.alias("r"), (F.col(f"b.{image}") == F.col(f"r.{image}")) & (F.col("r.y") >= F.col("b.y0")) & (F.col("r.y") < F.col("b.y1")) & (F.col("r.xs") < F.col("b.x1")) & (F.col("r.xe") > F.col("b.x0")))
-    px = F.sum(F.least("r.xe", "b.x1") - F.greatest("r.xs", "b.x0")).alias("px")
-    inside = hit.groupBy(F.col(f"b.{image}").alias(image), F.col("b.box_id").alias("box_id")).agg(px)
+    banded = boxes.select(image, "box_id", "y0", "x0", "y1", "x1", F.explode(F.sequence(F.floor(F.col("y0") / BAND), F.floor((F.col("y1") - 1) / BAND))).alias("band"))
+    placed = runs.select(image, "y", "xs", "xe", F.floor(F.col("y") / BAND).alias("band"))
+    hit = banded.join(placed, [image, "band"]).filter((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("xs") < F.col("x1")) & (F.col("xe") > F.col("x0")))
+    inside = hit.groupBy(image, "box_id").agg(F.sum(F.least("xe", "x1") - F.greatest("xs", "x0")).alias("px"))
     out = boxes.join(inside, [image, "box_id"], "left").join(area, image, "left").withColumn("px", F.coalesce("px", F.lit(0)))
     size = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     out = out.withColumn("coverage", F.coalesce(F.try_divide("px", "area"), F.lit(0.0))).withColumn("fraction", F.col("px") / size)
     return out.withColumn("score", F.greatest("coverage", "fraction"))
 
 
+PIXELS = 4096  # places of a region that meet in one lookup
+
+
+def lesion_candidates(runs: DataFrame, n: int, size: int, seed: int, height: int, width: int, unit: str = "region_id") -> DataFrame:
+    """unit, box_id, y0, x0, y1, x1: the distinct boxes around n centres of each region, given by its mask runs (y, xs, xe).
+
+    The first centre is the centroid, rounded to even; the others are drawn pixels
+    of the region. A drawn number is a place in the region's order of rows and
+    columns, and the run that holds it is found by the running lengths of the runs,
+    so no pixel is ever a row. Boxes are moved inside the frame; a frame under
+    ``size`` and a region without pixels give no rows. Runs of a region do not overlap.
+    """
+    length = F.col("xe") - F.col("xs")
+    placed = along(runs.select(unit, "y", "xs", "xe").filter(length > 0), [unit], [F.col("y"), F.col("xs")], sums={"upto": length.cast("bigint")}, wholes={"area": length.cast("bigint")}).withColumn("start", F.col("upto") - length)
+    middle = (F.col("xs") + F.col("xe") - 1) / 2
+    regions = placed.groupBy(unit).agg(F.max("area").alias("area"), F.sum(F.col("y") * length).alias("sy"), F.sum(middle * length).alias("sx"))
+    centroid = regions.select(unit, F.bround(F.col("sy") / F.col("area")).cast("int").alias("cy"), F.bround(F.col("sx") / F.col("area")).cast("int").alias("cx"))
+    centres = centroid
+    if n > 1:
+        draws = regions.select(unit, "area", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("draw"))
+        at = F.floor(keyed_uniform(seed, F.col(unit), F.col("draw")) * F.col("area"))
+        drawn = draws.select(unit, at.alias("at")).distinct().withColumn("bin", F.floor(F.col("at") / PIXELS))
+        ranges = placed.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / PIXELS), F.floor((F.col("upto") - 1) / PIXELS))))
+        found = drawn.join(ranges, [unit, "bin"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("upto")))
+        centres = centres.unionByName(found.select(unit, F.col("y").cast("int").alias("cy"), (F.col("xs") + F.col("at") - F.col("start")).cast("int").alias("cx")))
+    box = centres.select(unit, box_from_center(F.col("cy"), F.col("cx"), size, F.lit(height), F.lit(width)).alias("box")).filter("box is not null")
+    return box.select(unit, "box.*").distinct().withColumn("box_id", F.concat_ws(":", "y0", "x0"))
+
+
+def lesion_boxes(runs: DataFrame, n: int, k: int, size: int, seed: int, cutoff: float, height: int, width: int, unit: str = "region_id") -> DataFrame:
+    """The k best of n candidates a region with px, coverage, fraction, score, place and fallback_reason."""
+    return best_boxes(roi_overlap(lesion_candidates(runs, n, size, seed, height, width, unit), runs, unit), [unit], k, cutoff)
+
+
+def black_stripe(clean: Column, mask: Column, band: int) -> Column:
+    """Whether one of the four edge bands of a grid is over a fifth in the mask and there under 0.02 in the mean.
+
+    ``clean`` and ``mask`` are arrays of rows. A null grid gives null, an empty one false.
+    """
+
+    def side(c: Column) -> list[Column]:
+        rows = [F.slice(c, 1, band), F.slice(c, F.greatest(F.size(c) - band + 1, F.lit(1)), F.lit(band))]
+        left = F.transform(c, lambda r: F.slice(r, 1, band))
+        right = F.transform(c, lambda r: F.slice(r, F.greatest(F.size(r) - band + 1, F.lit(1)), F.lit(band)))
+        return [F.flatten(x) for x in (*rows, left, right)]
+
+    found = F.lit(False)
+    for values, inside in zip(side(clean), side(mask), strict=True):
+        held = F.filter(F.zip_with(values, inside, lambda v, m: F.when(m > 0, v.cast("double"))), lambda v: v.isNotNull())
+        mean = F.try_divide(F.aggregate(held, F.lit(0.0), lambda acc, v: acc + v), F.size(held))
+        found = found | F.coalesce((F.size(held) > 0.2 * F.size(inside)) & (mean < 0.02), F.lit(False))
+    return F.when(clean.isNotNull() & mask.isNotNull(), found)
+
+
 def free_boxes(boxes: DataFrame, rois: DataFrame, image: str = "image_id") -> DataFrame:
     """Boxes that touch no region box of their image."""
     b, r = boxes.alias("b"), rois.alias("r")

@@ -99,6 +99,38 @@ def lesion_boxes(spark, d):
     return R.best_boxes(_scored(spark, d), ["image_id"], 2, 0.1).select("image_id", "box_id", "place", "fallback_reason")
 
 
+_LESION = "q AS (SELECT box_id AS region_id, y0 + dy AS y, x0 + dy AS xs, x0 + 20 + 2 * dy AS xe FROM b, (SELECT unnest([0, 10, 20, 30, 40]) AS dy) WHERE pathology = 'MALIGNANT')"
+
+
+def lesion_runs(b):
+    """Five runs for each malignant box, which grow to the right."""
+    rows = b.filter("pathology = 'MALIGNANT'").select(F.col("box_id").alias("region_id"), "y0", "x0", F.explode(F.array(*[F.lit(x) for x in (0, 10, 20, 30, 40)])).alias("dy"))
+    return rows.select("region_id", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dy")).alias("xs"), (F.col("x0") + 20 + 2 * F.col("dy")).alias("xe"))
+
+
+_CENTRES = f"""w AS (SELECT *, xe - xs AS len, sum(xe - xs) OVER (PARTITION BY region_id ORDER BY y, xs ROWS UNBOUNDED PRECEDING) AS upto FROM q),
+a AS (SELECT region_id, sum(len) AS area, round_even(sum(y * len) / sum(len), 0)::INT AS cy, round_even(sum((xs + xe - 1) / 2 * len) / sum(len), 0)::INT AS cx FROM w GROUP BY 1),
+k AS (SELECT DISTINCT region_id, floor({u_sql("42", "region_id", "i")} * area)::BIGINT AS nth FROM a, range(1, 12) t(i)),
+cc AS (SELECT region_id, cy, cx FROM a UNION ALL SELECT k.region_id, w.y, w.xs + k.nth - (w.upto - w.len) FROM k JOIN w ON w.region_id = k.region_id AND k.nth >= w.upto - w.len AND k.nth < w.upto),
+bx AS (SELECT DISTINCT region_id, least(greatest(cy - 48, 0), 512)::INT AS y0, least(greatest(cx - 48, 0), 512)::INT AS x0 FROM cc)"""
+
+
+@query(X + f"{_LESION}, {_CENTRES} SELECT region_id, y0, x0 FROM bx")
+def lesion_candidates(spark, d):
+    """Boxes around the centroid and eleven drawn pixels of each region; no pixel table is made."""
+    return R.lesion_candidates(lesion_runs(boxes(spark, d)), 12, 96, 42, 608, 608).select("region_id", "y0", "x0")
+
+
+@query(X + f"""{_LESION}, {_CENTRES}, h AS (SELECT bx.*, sum(greatest(0, least(w.xe, x0 + 96) - greatest(w.xs, x0))) FILTER (w.y >= y0 AND w.y < y0 + 96) AS px, max(area) AS area FROM bx JOIN w ON w.region_id = bx.region_id JOIN a ON a.region_id = bx.region_id GROUP BY bx.region_id, y0, x0),
+s AS (SELECT *, greatest(coalesce(px, 0) / area, coalesce(px, 0) / 9216) AS score FROM h),
+p AS (SELECT *, count(*) FILTER (score >= 0.97) OVER (PARTITION BY region_id) AS took, row_number() OVER (PARTITION BY region_id ORDER BY score >= 0.97 DESC, score DESC, y0, x0) AS place FROM s)
+SELECT region_id, place, y0, x0, round(score, 6) AS score, CASE WHEN score < 0.97 THEN 'insufficient_overlap_0.97:' || least(took, 3) || '/3' END AS fallback_reason FROM p WHERE place <= 3""")
+def drawn_lesion_boxes(spark, d):
+    """The three best candidates of each region, those under the cutoff with a reason."""
+    out = R.lesion_boxes(lesion_runs(boxes(spark, d)), 12, 3, 96, 42, 0.97, 608, 608)
+    return out.select("region_id", "place", "y0", "x0", r6(F.col("score")).alias("score"), "fallback_reason")
+
+
 _CLASS = "CASE WHEN pathology = 'MALIGNANT' THEN 'malignant' ELSE 'benign' END || '_' || CASE lesion_type WHEN 'Mass' THEN 'mass' ELSE 'calcification' END"
 CLASSES = ("background", "benign_calcification", "benign_mass", "malignant_calcification", "malignant_mass")
 
@@ -239,6 +271,22 @@ def qa_flags(spark, d):
     return _image_qa(spark, d).select("vec_id", flags.alias("flags")).filter(F.length("flags") > 0)
 
 
+_GRID = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings),
+c AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, greatest(0, v) AS v, (v > 0 OR (vec_id % 3 = 0 AND pos % 8 < 2)) AS m, CASE WHEN vec_id % 3 = 0 AND pos % 8 < 2 THEN 0.01 ELSE greatest(0, v) END AS p FROM e)"""
+
+
+@query(_GRID + """, s AS (SELECT vec_id, band, count(*) AS n, count(*) FILTER (m) AS held, avg(p) FILTER (m) AS mean FROM c, (SELECT unnest(['top', 'bottom', 'left', 'right']) AS band)
+  WHERE CASE band WHEN 'top' THEN y < 2 WHEN 'bottom' THEN y >= 6 WHEN 'left' THEN x < 2 ELSE x >= 6 END GROUP BY 1, 2)
+SELECT vec_id, bool_or(held > 0.2 * n AND coalesce(mean < 0.02, false)) AS black_stripe FROM s GROUP BY 1""")
+def black_stripe(spark, d):
+    """Grids of 8 x 8, a third of them with a dark band of two columns that the mask holds."""
+    dark = (F.col("vec_id") % 3 == 0) & (F.col("x") < 2)
+    cells = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", (F.col("pos") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    flat = cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(dark, 0.01).otherwise(F.greatest(F.lit(0.0), F.col("v"))).alias("p"), ((F.col("v") > 0) | dark).cast("int").alias("m")))).alias("c"))
+    grid = lambda field: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.slice("c", y * 8 + 1, 8), lambda e: e[field]))
+    return flat.select("vec_id", R.black_stripe(grid("p"), grid("m"), 2).alias("black_stripe"))
+
+
 @query(f"WITH b AS ({ABN_SQL}), z AS (SELECT lesion_type, sqrt((part % 97 + 1) ** 2 + (supp % 89 + 1) ** 2) AS diagonal FROM b) SELECT lesion_type, count(*) AS n, round(avg(diagonal), 6) AS mean, round(quantile_cont(diagonal, 0.5), 6) AS median, round(avg((diagonal <= 64)::INT), 6) AS fits FROM z GROUP BY 1")
 def size_profile(spark, d):
     diag = F.hypot((F.col("part") % 97 + 1).cast("double"), (F.col("supp") % 89 + 1).cast("double"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, region_queries, report_queries, score_queries
+from . import cohort_queries, region_queries, report_queries, score_queries, source_queries
 
-QUERIES = {k: v[0] for m in (score_queries, cohort_queries, region_queries, report_queries) for k, v in m.ALL.items()}
-SQL = {k: v[1] for m in (score_queries, cohort_queries, region_queries, report_queries) for k, v in m.ALL.items() if v[1]}
+MODULES = (score_queries, cohort_queries, region_queries, report_queries, source_queries)
+
+QUERIES = {k: v[0] for m in MODULES for k, v in m.ALL.items()}
+SQL = {k: v[1] for m in MODULES for k, v in m.ALL.items() if v[1]}
