@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange, repeats
 from .packed import U64, Group, covered, mix, pack, powers, runs, unpack
+from .shared import ddl
 
 WINDOW = 100
 PREFIX = 32
@@ -174,8 +175,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone |= covered(len(group.data), repeats.later_windows(h, at, lost), window)
         return _results(group, gone, bool(keep_columns))
 
-    fields = docs.select(*keep_columns).schema if keep_columns else None
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept binary" + (f", extra {fields.simpleString()}" if fields else "")
+    fields = docs.select(*[F.col(f"`{c}`") for c in keep_columns]).schema if keep_columns else None
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept binary" + (f", extra {ddl(fields)}" if fields else "")
     asked = exchange.ask(dealt, lambda g, group: _send_ranks(group, window, prefix, n))
     windows = exchange.told(dealt, exchange.answer(asked, _answer_ranks), again, exchange.SENT)
     return exchange.told(dealt, exchange.answer(windows, repeats.answer_windows), last, schema)

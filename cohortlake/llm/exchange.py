@@ -132,6 +132,15 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     return Dealt(placed.select(g.cast("int").alias("g"), *named), first, buckets, size)
 
 
+TABLES: list[Callable[[], None]] = []  # each forgets a table that a process keeps from task to task
+
+
+def drop_tables() -> None:
+    """Forgets what earlier tasks of other operators keep in this process; a worker serves one stage after another."""
+    for forget in TABLES:
+        forget()
+
+
 def give_back() -> None:
     """Returns freed memory to the machine: a worker outlives its task, and the next stage may not need as much."""
     pa.default_memory_pool().release_unused()

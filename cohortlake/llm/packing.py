@@ -76,6 +76,9 @@ def _word_ids(model: bytes, code: str) -> WordIds:
     return WordIds(load(model), code, lower)
 
 
+exchange.TABLES.append(_word_ids.cache_clear)
+
+
 def pack_sequences(docs: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     with open(model_path, "rb") as file:

@@ -6,6 +6,18 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def ddl(kind: T.DataType) -> str:
+    """The type as DDL in which any name is quoted."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ", ".join(f"`{f.name.replace('`', '``')}`: {ddl(f.dataType)}" for f in kind.fields) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, T.MapType):
+        return f"map<{ddl(kind.keyType)}, {ddl(kind.valueType)}>"
+    return kind.simpleString()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

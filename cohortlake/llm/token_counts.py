@@ -87,6 +87,9 @@ def _units(model: bytes) -> UnitCounts:
     return UnitCounts(load(model))
 
 
+exchange.TABLES += [load.cache_clear, _units.cache_clear]
+
+
 _ODD = re.compile(r"[^\S \n]").search
 _KEPT = 1 << 19
 

@@ -17,7 +17,9 @@ same rows; spans are runs of tokens with a marginal of one half or more.
 Defined results: a null or empty text has no tokens and gets the score of no
 evidence; null labels are not learnt from; no training rows of both labels give
 the share of toxic rows (0.5 without any) as every score; repeated rows are
-scored each; other columns are ignored.
+scored each; texts of any length are scored whole; an empty table gives an empty
+result; other columns are ignored, whatever their names. Spans count characters
+of the text as it is given, though words are compared in lower case.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
+from .shared import ddl
 
 MAX_ROWS, MAX_CHARS = 2500, 12_000_000  # of the training sample, together
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -40,7 +43,8 @@ _EPS = 1e-300
 
 
 def tokenize(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """The tokens in lower case. Each match is lowered, not the text, so places are those of the text."""
+    return [t.lower() for t in _TOKEN.findall(text)]
 
 
 @dataclass(frozen=True)
@@ -234,6 +238,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     keep_columns = list(keep_columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        exchange.drop_tables()
         m = shared.value
         for table in exchange.pieces(batches):
             texts = [t or "" for t in table.column("text").to_pylist()]
@@ -242,26 +247,22 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             z = m.slope * doc_evidence(p, doc, len(texts)) + m.bias
             score = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             spans: list[list[dict]] = [[] for _ in texts]
-            first = np.searchsorted(doc, np.arange(len(texts)))
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
             for d in np.unique(doc[p >= 0.5]).tolist():
-                text = texts[d].lower()
-                text = text if len(text) == len(texts[d]) else texts[d]
-                hot = p[first[d] : first[d] + len(doc[doc == d])] >= 0.5
-                open_ = False
-                for i, t in enumerate(_TOKEN.finditer(text)):
-                    if i < len(hot) and hot[i]:
-                        if open_:
-                            spans[d][-1] |= {"stop": t.end(), "probability": max(spans[d][-1]["probability"], float(p[first[d] + i]))}
-                        else:
-                            spans[d].append({"start": t.start(), "stop": t.end(), "probability": float(p[first[d] + i])})
-                    open_ = i < len(hot) and bool(hot[i])
+                own, open_ = p[first[d] : first[d + 1]], False
+                for t, q in zip(_TOKEN.finditer(texts[d]), own.tolist(), strict=True):
+                    if q >= 0.5 and open_:
+                        spans[d][-1] |= {"stop": t.end(), "probability": max(spans[d][-1]["probability"], q)}
+                    elif q >= 0.5:
+                        spans[d].append({"start": t.start(), "stop": t.end(), "probability": q})
+                    open_ = q >= 0.5
             out = {"doc_id": table.column("doc_id"), "score": pa.array(score), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("probability", pa.float64())])))}
             if keep_columns:
                 out["extra"] = table.column("extra")
             yield pa.table(out).combine_chunks().to_batches()[0]
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(c) for c in keep_columns]).alias("extra")] if keep_columns else []))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, spans array<struct<start:int,stop:int,probability:double>>" + (f", extra {docs.select(*keep_columns).schema.simpleString()}" if keep_columns else "")
+    chosen = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep_columns]).alias("extra")] if keep_columns else []))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, spans array<struct<start:int,stop:int,probability:double>>" + (f", extra {ddl(docs.select(*[F.col(f'`{c}`') for c in keep_columns]).schema)}" if keep_columns else "")
     return chosen.mapInArrow(run, schema)
 
 
@@ -270,11 +271,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, ~held_out()))
+    model = fit(*training_rows(docs, labels, ~held_out()))
+    exchange.give_back()  # the driver lives on after the fit
+    return model
 
 
 def op1_toxicity_crf(spark, sf_dir: str) -> DataFrame:
-    """Scores for all ``documents``; a fifth of the ids is never learnt from."""
+    """Scores and toxic spans of all ``documents``; a fifth of the ids is never learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score_toxicity(docs, fit_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")

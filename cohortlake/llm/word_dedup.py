@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import exchange, repeats
 from .packed import Group, Words, covered, pack, runs, unpack
+from .shared import ddl
 
 WINDOW = 20
 
@@ -111,8 +112,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             at, h = _candidates(words, words.hashes(), window, block, n, {b: p[0] for b, p in got.items()})
         return exchange.sent(g, repeats.send_windows(h, at, n, ((b, pack(np.array([b], np.int64), np.frombuffer(p[0], np.uint8))) for b, p in got.items())))
 
-    fields = docs.select(*keep_columns).schema if keep_columns else None
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept_text string" + (f", extra {fields.simpleString()}" if fields else "")
+    fields = docs.select(*[F.col(f"`{c}`") for c in keep_columns]).schema if keep_columns else None
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept_text string" + (f", extra {ddl(fields)}" if fields else "")
 
     def last(g: int, group: Group, got: dict[int, list[bytes]]) -> pa.Table:
         words = Words(group)
