@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bin_of
+from ..sources.tables import cut
 from .prefix import along
 
 Keys = Sequence[str]
@@ -124,24 +125,26 @@ def strata(pred: DataFrame, stratum: str, levels: Sequence, threshold: Column, m
 
 
 def fit_temperature(pred: DataFrame, keys: Keys = (), logit: str = "logit", y: str = "label", rounds: int = 3) -> DataFrame:
-    """keys, temperature, nll: least mean loss on a log grid of 41 points, refined three times.
+    """keys, temperature, nll: least mean loss on a log grid of 41 points, refined ``rounds`` times.
 
-    All runs and grid points of a round go through one aggregation. Each round
-    keeps the best point and shrinks the step twentyfold.
+    Rows are counted by score and label first, so the grid meets distinct scores
+    and not rows. All runs and grid points of a round go through one aggregation;
+    each round keeps the best point and shrinks the step twentyfold.
     """
     from math import log
 
     low, high = log(0.05), log(20.0)
     step = (high - low) / 40
     df, k = _keyed(pred, keys)
+    df = cut(df.groupBy(*k, F.col(logit).alias("z"), F.col(y).alias("y")).agg(F.count("*").alias("n")))
     best = df.select(*k).distinct().withColumn("mid", F.lit((low + high) / 2))
-    for i in range(rounds + 1):
+    for _ in range(rounds + 1):
         t = F.exp(F.col("mid") + (F.col("i") - 20) * F.lit(step))
         grid = df.join(F.broadcast(best.select(*k, "mid")), k).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40))))
-        z = F.col(logit) / t
-        loss = F.greatest(z, F.lit(0.0)) - z * F.col(y) + F.log1p(F.exp(-F.abs(z)))
-        each = grid.groupBy(*k, "mid", "i").agg(F.avg(loss).alias("nll"))
+        z = F.col("z") / t
+        loss = F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z)))
+        each = grid.groupBy(*k, "mid", "i").agg((F.sum(loss * F.col("n")) / F.sum("n")).alias("nll"))
         best = each.groupBy(*k).agg(F.min(F.struct("nll", "i", "mid")).alias("b")).select(*k, (F.col("b.mid") + (F.col("b.i") - 20) * F.lit(step)).alias("mid"), F.col("b.nll").alias("nll"))
+        best = cut(best)
         step /= 20
-        del i
     return best.select(*[c for c in k if c not in ONE], F.exp("mid").alias("temperature"), "nll")

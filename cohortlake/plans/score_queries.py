@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import functions as F
 
 from ..functions import clipped_logit, clipped_sigmoid, keyed_uniform, r6
+from ..operators import audits as A
 from ..operators import bootstrap as B
 from ..operators import scores as S
-from ..operators.resample import weight_vectors
+from ..operators.resample import rank_sums, weight_vectors
+from ..sources.tables import cut
 from .views import RUNS_SQL, SPLITS_SQL, pred_sql, predictions, runs, splits, table, u_sql
 
 ALL: dict[str, tuple] = {}
@@ -291,25 +295,168 @@ def leakage_shift(spark, d):
     return S.rank_metrics(S.score_counts(tagged, ["subset"]), ["subset"]).select("subset", r6(F.col("auc")).alias("auc"), (F.col("pos") + F.col("neg")).alias("n"))
 
 
-@query()
+PAIRS = (("model", "model_seed7"), ("model_seed2026", "model"))
+
+
+def _population_sql(sub: str, rows: str) -> str:
+    """{sub}v (k, b, auc) and {sub}e (k, n_cases, n_patients, auc): the runs' rows of one population, with resamples of its own patients."""
+    return f"""{sub}x AS (SELECT run_name AS k, patient_id, label, probability FROM {rows}),
+{sub}o AS (SELECT patient_id, max(label) AS outcome FROM {sub}x WHERE k = 'model' GROUP BY 1),
+{sub}n AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY patient_id) - 1 AS nth, count(*) OVER (PARTITION BY outcome) AS n FROM {sub}o),
+{sub}d AS (SELECT b, outcome, floor({u_sql('42', 'b', 'outcome', 'nth')} * n)::INT AS nth FROM {sub}n, range({RESAMPLES}) r(b)),
+{sub}w AS (SELECT b, patient_id, count(*) AS weight FROM {sub}d JOIN {sub}n USING (outcome, nth) GROUP BY ALL),
+{sub}c AS (SELECT k, b, probability AS threshold, sum(label * weight) AS tp, sum((1 - label) * weight) AS fp FROM {sub}x JOIN {sub}w USING (patient_id) GROUP BY ALL),
+{sub}r AS (SELECT *, sum(tp) OVER w AS tps, sum(tp) OVER (PARTITION BY k, b) AS pos, sum(fp) OVER (PARTITION BY k, b) AS neg FROM {sub}c WINDOW w AS (PARTITION BY k, b ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+{sub}v AS (SELECT k, b, ({_AUC})::DOUBLE AS auc FROM {sub}r GROUP BY 1, 2),
+{sub}1 AS (SELECT k, probability AS threshold, sum(label)::BIGINT AS tp, sum(1 - label)::BIGINT AS fp FROM {sub}x GROUP BY ALL),
+{sub}2 AS (SELECT *, sum(tp) OVER w AS tps, sum(tp) OVER (PARTITION BY k) AS pos, sum(fp) OVER (PARTITION BY k) AS neg FROM {sub}1 WINDOW w AS (PARTITION BY k ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+{sub}e AS (SELECT k, n_cases, n_patients, auc FROM (SELECT k, ({_AUC})::DOUBLE AS auc FROM {sub}2 GROUP BY 1) JOIN (SELECT k, count(*) AS n_cases, count(DISTINCT patient_id) AS n_patients FROM {sub}x GROUP BY 1) USING (k))"""
+
+
+_POPULATIONS = f"""WITH runs AS ({RUNS_SQL}), s AS ({SPLITS_SQL}), bad AS (SELECT patient_id FROM s GROUP BY 1 HAVING bool_or(split = 'test') AND bool_or(split <> 'test')),
+alltest AS (SELECT r.* FROM runs r JOIN s USING (image_id) WHERE s.split = 'test'), cleantest AS (SELECT * FROM alltest WHERE patient_id NOT IN (SELECT patient_id FROM bad)),
+{_population_sql("f", "alltest")}, {_population_sql("c", "cleantest")}"""
+
+
+def _populations(spark, d):
+    """(name, rows, AUC of each resample) of all test rows and of those without patients of development splits."""
+    from ..operators.cohort import clean, overlap_ledger
+
+    rows = _split_runs(spark, d, "test")
+    for name, own in (("full", rows), ("clean", clean(rows, overlap_ledger(splits(spark, d))))):
+        own = cut(own)
+        counts = own.groupBy("run_name", "patient_id", F.col("probability").alias("threshold")).agg(F.sum("label").alias("tp"), F.sum(1 - F.col("label")).alias("fp"))
+        yield name, own, cut(rank_sums(counts, weight_vectors(own.filter("run_name = 'model'"), RESAMPLES, 42), ["run_name"], RESAMPLES).select("run_name", "b", F.col("auc").alias("value")))
+
+
+@query(_POPULATIONS + ", " + ", ".join(f"{x}i AS (SELECT k, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM {x}v GROUP BY 1)" for x in "fc") + " " + " UNION ALL ".join(f"SELECT '{name}' AS subset, k AS run_name, n_cases, n_patients, round(auc, 6) AS auc, round(lo, 6) AS lo, round(hi, 6) AS hi FROM {x}e JOIN {x}i USING (k)" for x, name in (("f", "full"), ("c", "clean"))))
+def leakage_intervals(spark, d):
+    """AUC with its interval of every run, on all test rows and without the patients that leak."""
+    out = []
+    for name, rows, values in _populations(spark, d):
+        size = rows.groupBy("run_name").agg(F.count("*").alias("n_cases"), F.count_distinct("patient_id").alias("n_patients"))
+        auc = S.rank_metrics(S.score_counts(rows, ["run_name"]), ["run_name"]).select("run_name", r6(F.col("auc")).alias("auc"))
+        span = B.intervals(values, ["run_name"]).select("run_name", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
+        out.append(size.join(auc, "run_name").join(span, "run_name").select(F.lit(name).alias("subset"), "run_name", "n_cases", "n_patients", "auc", "lo", "hi"))
+    return out[0].unionByName(out[1])
+
+
+@query(_POPULATIONS + ", " + ", ".join(f"{x}p AS (SELECT p.first || '__minus__' || p.second AS pair, a.auc - z.auc AS v FROM {x}v a JOIN {x}v z USING (b) JOIN (SELECT unnest([{', '.join(repr(p[0]) for p in PAIRS)}]) AS first, unnest([{', '.join(repr(p[1]) for p in PAIRS)}]) AS second) p ON p.first = a.k AND p.second = z.k)" for x in "fc") + " " + " UNION ALL ".join(f"SELECT '{name}' AS subset, pair, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(v) AS n_valid, round(least(1, 2 * least((count(*) FILTER (v <= 0) + 1) / (count(v) + 1), (count(*) FILTER (v >= 0) + 1) / (count(v) + 1))), 6) AS p FROM {x}p GROUP BY pair" for x, name in (("f", "full"), ("c", "clean"))))
+def leakage_pairs(spark, d):
+    """The differences of two central pairs of runs, on both populations."""
+    out = []
+    for name, _, values in _populations(spark, d):
+        for first, second in PAIRS:
+            got = B.paired(values.filter(F.col("run_name") == first), values.filter(F.col("run_name") == second))
+            out.append(got.select(F.lit(name).alias("subset"), F.lit(f"{first}__minus__{second}").alias("pair"), r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n_valid", r6(F.col("p")).alias("p")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def _temperature_sql(src: str, rounds: int) -> str:
+    """tmp (k, t, nll) of src (k, probability, label): the same grid, round by round."""
+    step, mid = (log(20.0) - log(0.05)) / 40, (log(0.05) + log(20.0)) / 2
+    safe = "greatest(1e-7, least(1 - 1e-7, probability))"
+    out = f"zz AS (SELECT k, ln({safe} / (1 - {safe})) AS z, label AS y, count(*) AS n FROM {src} GROUP BY ALL), m0 AS (SELECT DISTINCT k, {mid!r}::DOUBLE AS mid, 0::DOUBLE AS nll FROM zz)"
+    for r in range(rounds + 1):
+        loss = "greatest(z / t, 0) - z / t * y + ln(1 + exp(-abs(z / t)))"
+        out += f""", g{r} AS (SELECT k, mid, i, exp(mid + (i - 20) * {step!r}::DOUBLE) AS t FROM m{r}, range(41) r(i)),
+e{r} AS (SELECT k, mid, i, sum(n * ({loss})) / sum(n) AS nll FROM zz JOIN g{r} USING (k) GROUP BY ALL),
+m{r + 1} AS (SELECT k, arg_min(mid + (i - 20) * {step!r}::DOUBLE, (nll, i)) AS mid, min(nll) AS nll FROM e{r} GROUP BY 1)"""
+        step /= 20
+    return out + f", tmp AS (SELECT k, exp(mid) AS t, nll FROM m{rounds + 1})"
+
+
+@query(P + "src AS (SELECT run_name AS k, probability, label FROM runs), " + _temperature_sql("src", A.ROUNDS) + " SELECT k AS run_name, round(t, 4) AS temperature, round(nll, 6) AS nll FROM tmp")
 def temperature(spark, d):
     scored = runs(spark, d).withColumn("logit", clipped_logit(F.col("probability")))
-    return S.fit_temperature(scored, ["run_name"]).select("run_name", F.round("temperature", 4).alias("temperature"), r6(F.col("nll")).alias("nll"))
+    return S.fit_temperature(scored, ["run_name"], rounds=A.ROUNDS).select("run_name", F.round("temperature", 4).alias("temperature"), r6(F.col("nll")).alias("nll"))
+
+
+STRATA = {"density": (1, 2, 3, 4, 9), "lesion_type": ("mass", "calcification", "mixed")}
+
+
+def _split_runs(spark, d, split: str):
+    """The runs' rows of one split of the base cohort."""
+    return runs(spark, d).join(splits(spark, d).filter(F.col("split") == split).select("image_id"), "image_id")
+
+
+def _points_sql(cells: str, item: str, src: str, threshold: str) -> str:
+    rates = {"accuracy": "(tp + tn) / n", "sensitivity": "coalesce(tp / nullif(tp + fn, 0), 0)", "specificity": "coalesce(tn / nullif(tn + fp, 0), 0)", "ppv": "coalesce(tp / nullif(tp + fp, 0), 0)", "npv": "coalesce(tn / nullif(tn + fn, 0), 0)", "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)"}
+    each = ", ".join(f"{{'i': '{k}', 'v': ({v})::DOUBLE}}" for k, v in rates.items())
+    return f"SELECT k, '{item}.' || u.i AS item, u.v AS value FROM (SELECT k, unnest([{each}]) AS u FROM (SELECT k, {_cells(threshold)} FROM {src} GROUP BY 1))"
+
+
+def _audit_sql(test: str, validation: str | None, locked: str) -> str:
+    """rec (k, item, value) of test rows x (k, patient_id, density, lesion_type, label, probability) at lck (k, threshold, fixed, t, nll_before, nll_after)."""
+    q = "greatest(1e-7, least(1 - 1e-7, {0}))"
+    logit = f"ln({q.format('probability')} / (1 - {q.format('probability')}))"
+    sql = f"""x AS (SELECT s.*, threshold, fixed, t, 1 / (1 + exp(-{logit} / t)) AS calibrated FROM {test} s JOIN {locked} USING (k))"""
+    out = ["SELECT k, u.i AS item, u.v AS value FROM (SELECT k, unnest([{'i': 'n_cases', 'v': count(*)::DOUBLE}, {'i': 'n_patients', 'v': count(DISTINCT patient_id)::DOUBLE}, {'i': 'n_positive', 'v': sum(label)::DOUBLE}, {'i': 'prevalence', 'v': avg(label)::DOUBLE}]) AS u FROM x GROUP BY 1)"]
+    names = {"threshold": "threshold", "fixed": "fixed", "temperature": "t"} | ({"nll_before": "nll_before", "nll_after": "nll_after"} if validation else {})
+    out += [f"SELECT k, 'locked.{n}', {c} FROM {locked}" for n, c in names.items()]
+    for i, (name, p) in enumerate((("raw", "probability"), ("calibrated", "calibrated"))):
+        sql += f""", c{i} AS (SELECT k, {p} AS threshold, sum(label)::BIGINT AS tp, sum(1 - label)::BIGINT AS fp FROM x GROUP BY ALL),
+r{i} AS (SELECT *, sum(tp) OVER w AS tps, sum(fp) OVER w AS fps, sum(tp) OVER (PARTITION BY k) AS pos, sum(fp) OVER (PARTITION BY k) AS neg FROM c{i} WINDOW w AS (PARTITION BY k ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+b{i} AS (SELECT k, {_BIN.replace("probability", p)} AS bin, count(*) AS n, avg({p}) AS mean_p, avg(label) AS mean_y FROM x GROUP BY 1, 2)"""
+        out += [f"SELECT k, '{name}.auc', {_AUC} FROM r{i} GROUP BY 1", f"SELECT k, '{name}.average_precision', {_AP} FROM r{i} GROUP BY 1"]
+        out += [f"SELECT k, '{name}.brier', avg(({p} - label) ** 2) FROM x GROUP BY 1", f"SELECT k, '{name}.nll', avg(-ln(CASE label WHEN 1 THEN {q.format(p)} ELSE 1 - {q.format(p)} END)) FROM x GROUP BY 1"]
+        out += [f"SELECT k, '{name}.ece', sum(n * abs(mean_p - mean_y)) / sum(n) FROM b{i} GROUP BY 1"]
+    out += [f"SELECT k, 'reliability.' || bin || '.{n}', {c}::DOUBLE FROM b1" for n, c in (("n", "n"), ("pred", "mean_p"), ("obs", "mean_y"))]
+    sql += """, d AS (SELECT k, i, 0.05::DOUBLE + i * 0.01::DOUBLE AS o, sum(tp) FILTER (threshold >= 0.05::DOUBLE + i * 0.01::DOUBLE) AS tps, sum(fp) FILTER (threshold >= 0.05::DOUBLE + i * 0.01::DOUBLE) AS fps, sum(tp) AS pos, sum(tp + fp) AS n FROM c1, range(46) g(i) GROUP BY 1, 2)"""
+    odds = "o / (1 - o + 1e-12)"
+    out += [f"SELECT k, 'decision.' || i || '.net_benefit', coalesce(tps, 0) / n - coalesce(fps, 0) / n * {odds} FROM d", f"SELECT k, 'decision.' || i || '.treat_all', pos / n - (1 - pos / n) * {odds} FROM d"]
+    for start, cut in (("", "threshold"), ("fixed.", "fixed")):
+        out.append(_points_sql("", f"{start}test", "x", cut))
+        for column, levels in STRATA.items():
+            tag = f"{column[0]}{cut[0]}"
+            sql += f""", {tag} AS (SELECT k, {column}::VARCHAR AS level, {_cells(cut)} FROM x GROUP BY 1, 2),
+{tag}c AS (SELECT k, {column}::VARCHAR AS level, probability AS threshold, sum(label)::BIGINT AS tp, sum(1 - label)::BIGINT AS fp FROM x GROUP BY ALL),
+{tag}r AS (SELECT *, sum(tp) OVER w AS tps, sum(tp) OVER (PARTITION BY k, level) AS pos, sum(fp) OVER (PARTITION BY k, level) AS neg FROM {tag}c WINDOW w AS (PARTITION BY k, level ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+{tag}a AS (SELECT k, level, {_AUC} AS auc FROM {tag}r GROUP BY 1, 2),
+{tag}l AS (SELECT DISTINCT k, unnest([{", ".join(f"'{v}'" for v in levels)}]) AS level FROM x),
+{tag}v AS (SELECT l.k, l.level, coalesce(n, 0) AS n, auc, (tp + tn) / n AS accuracy, coalesce(tp / nullif(tp + fn, 0), 0) AS sensitivity, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, coalesce(tp / nullif(tp + fp, 0), 0) AS ppv FROM {tag}l l LEFT JOIN {tag} s ON s.k = l.k AND s.level = l.level LEFT JOIN {tag}a a ON a.k = l.k AND a.level = l.level)"""
+            out.append(f"SELECT k, '{start}{column}.' || level || '.n', n::DOUBLE FROM {tag}v")
+            out += [f"SELECT k, '{start}{column}.' || level || '.{c}', {c}::DOUBLE FROM {tag}v WHERE n >= 10" for c in ("auc", "accuracy", "sensitivity", "specificity", "ppv")]
+    if validation:
+        sql += f", vx AS (SELECT s.*, fixed FROM {validation} s JOIN {locked} USING (k))"
+        out.append(_points_sql("", "fixed.validation", "vx", "fixed"))
+    return sql + ", rec AS (" + " UNION ALL ".join(out) + ")"
+
+
+_LOCKED = f"""{_curve("val", "k")}, {_temperature_sql("val", A.ROUNDS)},
+qv AS (SELECT k, avg(-ln(CASE label WHEN 1 THEN greatest(1e-7, least(1 - 1e-7, probability)) ELSE 1 - greatest(1e-7, least(1 - 1e-7, probability)) END)) AS nll_before FROM val GROUP BY 1),
+best AS (SELECT k, max(tpr) AS top FROM roc WHERE fpr <= 0.2 + 1e-12 AND NOT isinf(threshold) GROUP BY 1),
+lck AS (SELECT r.k, arg_max(threshold, (tpr - fpr, threshold)) AS threshold, min(threshold) FILTER (fpr <= 0.2 + 1e-12 AND NOT isinf(threshold) AND abs(tpr - top) <= 1e-8 + 1e-5 * top) AS fixed, any_value(tmp.t) AS t, any_value(nll_before) AS nll_before, any_value(tmp.nll) AS nll_after FROM roc r JOIN best ON best.k = r.k JOIN tmp ON tmp.k = r.k JOIN qv ON qv.k = r.k GROUP BY 1)"""
+_BY_SPLIT = f"WITH runs AS ({RUNS_SQL}), s AS ({SPLITS_SQL}), both_ AS (SELECT r.run_name AS k, r.patient_id, r.density, r.lesion_type, r.label, r.probability, s.split FROM runs r JOIN s USING (image_id)), val AS (SELECT * FROM both_ WHERE split = 'val'), tst AS (SELECT * FROM both_ WHERE split = 'test'), "
+
+
+@query(_BY_SPLIT + _LOCKED + ", " + _audit_sql("tst", "val", "lck") + " SELECT k AS run_name, item, round(value, 5) AS value FROM rec WHERE value IS NOT NULL")
+def run_audit(spark, d):
+    """The whole record of each run: points and temperature from validation rows, all else from test rows."""
+    val = _split_runs(spark, d, "val")
+    locked = cut(A.locked_points(val, ["run_name"]))
+    out = A.audit_record(_split_runs(spark, d, "test"), locked, ["run_name"], STRATA, val)
+    return out.select("run_name", "item", F.round("value", 5).alias("value"))
 
 
-def audit(df, keys):
-    """A nested record a run: AUC, AP, panel at Youden's threshold, calibration, points at fixed specificity."""
-    counts = S.score_counts(df, keys)
-    roc = S.roc_points(counts, keys)
-    cut = S.youden(roc, keys).join(S.threshold_at_specificity(roc, 0.8, keys).withColumnRenamed("threshold", "fixed"), keys)
-    rows = df.join(F.broadcast(cut), keys)
-    parts = S.rank_metrics(counts, keys).join(S.panel(rows, F.col("threshold"), keys), keys).join(S.prob_quality(df, keys), keys).join(S.expected_calibration_error(S.calibration_bins(df, keys), keys), keys).join(cut, keys)
-    return parts.select(*keys, "n", "threshold", "fixed", F.struct("auc", "average_precision").alias("ranking"), F.struct("tn", "fp", "fn", "tp", *RATES).alias("panel"), F.struct("brier", "nll", "ece").alias("calibration"))
+_OUTSIDE = "tst AS (SELECT 'outside' AS k, o_custkey AS patient_id, (o_orderkey % 4 + 1)::INT AS density, CASE o_orderstatus WHEN 'F' THEN 'mass' WHEN 'O' THEN 'calcification' ELSE 'mixed' END AS lesion_type, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS label, round(0.8 * " + u_sql("99", "o_orderkey") + " + 0.15 * (o_orderpriority = '1-URGENT')::INT, 3) AS probability FROM orders WHERE o_orderkey % 5 = 0)"
+_INSIDE = f"WITH s AS ({SPLITS_SQL}), val AS (SELECT 'outside' AS k, patient_id, density, lesion_type, label, probability FROM s WHERE split = 'val'), "
 
 
-@query()
-def run_audit(spark, d):
-    return audit(runs(spark, d), ["run_name"])
+@query(_INSIDE + _LOCKED + f", {_OUTSIDE}, " + _audit_sql("tst", None, "lck") + " SELECT k AS cohort, item, round(value, 5) AS value FROM rec WHERE value IS NOT NULL")
+def external_record(spark, d):
+    """The record of a cohort with other labels and scores, at points and a temperature from within; nothing is fitted on it."""
+    cohort, val = _outside(spark, d)
+    locked = cut(A.locked_points(val, ["cohort"]).drop("nll_before", "nll_after"))
+    return A.audit_record(cohort, locked, ["cohort"], STRATA).select("cohort", "item", F.round("value", 5).alias("value"))
+
+
+def _outside(spark, d):
+    high = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")
+    p = F.round(0.8 * keyed_uniform(99, F.col("o_orderkey")) + 0.15 * (F.col("o_orderpriority") == "1-URGENT").cast("int"), 3)
+    kind = F.when(F.col("o_orderstatus") == "F", "mass").when(F.col("o_orderstatus") == "O", "calcification").otherwise("mixed")
+    cohort = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.lit("outside").alias("cohort"), F.col("o_custkey").alias("patient_id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("density"), kind.alias("lesion_type"), high.alias("label"), p.alias("probability"))
+    return cohort, splits(spark, d).filter("split = 'val'").withColumn("cohort", F.lit("outside"))
 
 
 @query(f"WITH s AS ({SPLITS_SQL}), v AS (SELECT * FROM s WHERE split = 'val'), " + _curve("v") + f", lock AS (SELECT arg_min(threshold, (-tpr, threshold)) AS t FROM roc WHERE fpr <= 0.2 + 1e-12 AND NOT isinf(threshold)), c AS (SELECT {_cells('t')} FROM s, lock WHERE split = 'test') SELECT {_PANEL} FROM c")
