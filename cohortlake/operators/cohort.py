@@ -60,3 +60,11 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def membership_faults(rows: DataFrame, members: DataFrame, key: str, group: str) -> DataFrame:
+    """The rows with fault: no_split, whose key no group holds, or other_split, whose group does not hold it."""
+    known = members.select(key).distinct().withColumn("__known", F.lit(True))
+    pairs = members.select(key, group).distinct().withColumn("__held", F.lit(True))
+    out = rows.join(known, key, "left").join(pairs, [key, group], "left").filter("__held is null")
+    return out.withColumn("fault", F.when(F.col("__known").isNull(), "no_split").otherwise("other_split")).drop("__known", "__held")

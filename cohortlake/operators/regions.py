@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import box_from_center, keyed_uniform
+from ..functions import box_from_center, keyed_uniform, stable_id
+from .cohort import violations
 from .prefix import along
 
 
@@ -66,6 +67,63 @@ def lesion_boxes(runs: DataFrame, n: int, k: int, size: int, seed: int, cutoff:
     return best_boxes(roi_overlap(lesion_candidates(runs, n, size, seed, height, width, unit), runs, unit), [unit], k, cutoff)
 
 
+def patch_manifest(regions: DataFrame, runs: DataFrame, tissue: DataFrame, classes: Sequence[str], *, lesion: int, background: int, candidates: int, attempts: int, size: int, seed: int, cutoff: float, height: int, width: int) -> DataFrame:
+    """One row a patch: the best ``lesion`` drawn boxes of each region and ``background`` boxes of each image, with ids, classes and overlaps.
+
+    ``regions`` has region_id, image_id, patient_id, split, patch_class and the
+    region's box y0, x0, y1, x1; ``runs`` the mask runs by region_id; ``tissue``
+    disjoint rectangles by image_id. Background boxes touch no region's box, are
+    anchored to the image's regions in turn and have the first of ``classes``.
+    """
+    ids = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    named = regions.select("region_id", "image_id", "patient_id", "split", "patch_class")
+    lesions = lesion_boxes(runs, candidates, lesion, size, seed, cutoff, height, width).join(named, "region_id")
+    lesions = lesions.select("image_id", "region_id", "patient_id", "split", "patch_class", F.lit("lesion").alias("patch_kind"), "place", "y0", "x0", "y1", "x1", F.col("score").alias("roi_overlap"), F.col("coverage").alias("roi_coverage"), F.col("fraction").alias("patch_lesion_fraction"), F.col("px").cast("bigint").alias("roi_overlap_px"), F.lit(None).cast("double").alias("tissue_fraction"), "fallback_reason")
+    boxes = regions.select("image_id", F.col("region_id").alias("box_id"), "y0", "x0", "y1", "x1")
+    free = background_boxes(boxes, boxes, tissue, background, size, attempts, seed, height, width).join(regions.select("image_id", "patient_id", "split").distinct(), "image_id")
+    zero = F.lit(0.0)
+    free = free.select("image_id", F.col("anchor").alias("region_id"), "patient_id", "split", F.lit(classes[0]).alias("patch_class"), F.lit("background").alias("patch_kind"), "place", "y0", "x0", "y1", "x1", zero.alias("roi_overlap"), zero.alias("roi_coverage"), zero.alias("patch_lesion_fraction"), F.lit(0).cast("bigint").alias("roi_overlap_px"), "tissue_fraction", F.lit(None).cast("string").alias("fallback_reason"))
+    out = lesions.unionByName(free)
+    ident = stable_id(seed, F.col("split"), F.col("image_id"), F.col("region_id"), F.col("patch_kind"), F.col("place") - 1)
+    return out.select(ident.alias("patch_id"), "*", ids[F.col("patch_class")].alias("class_id"), F.lit(height).alias("source_height"), F.lit(width).alias("source_width"))
+
+
+def manifest_violations(manifest: DataFrame, locked: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """rule, n of every rule that the manifest breaks; no rows: it is sound.
+
+    Rules of a row count rows: known split, known class, class of the id, box with
+    area inside its source, background off all regions, patient in the locked
+    split (``locked``: patient_id, split). Patients in several splits count
+    patients, repeated ids the rows after the first, an empty manifest one.
+    """
+    ids = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
+    inside = (F.col("y0") >= 0) & (F.col("x0") >= 0) & (F.col("y1") <= F.col("source_height")) & (F.col("x1") <= F.col("source_width")) & (F.col("y1") > F.col("y0")) & (F.col("x1") > F.col("x0"))
+    rows = {
+        "known_split": F.col("split").isin("train", "val"),
+        "known_class": F.col("patch_class").isin(*classes),
+        "class_id": ids[F.col("patch_class")] == F.col("class_id"),
+        "inside_source": inside,
+        "background_off_regions": (F.col("patch_kind") != "background") | (F.col("roi_overlap_px") == 0),
+    }
+    developed = manifest.filter(F.col("split").isin("train", "val"))
+    outside = developed.join(locked.select("patient_id", "split").distinct(), ["patient_id", "split"], "left_anti")
+    outside = outside.groupBy(F.concat(F.lit("locked_"), "split").alias("rule")).agg(F.count("*").alias("n"))
+    several = manifest.groupBy("patient_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit("patient_in_one_split").alias("rule"), "n")
+    again = manifest.groupBy("patch_id").agg((F.count("*") - 1).alias("k")).agg(F.sum("k").alias("n")).select(F.lit("unique_id").alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
+    empty = manifest.agg((F.count("*") == 0).cast("bigint").alias("n")).select(F.lit("not_empty").alias("rule"), "n")
+    return violations(manifest, rows).unionByName(outside).unionByName(several).unionByName(again).unionByName(empty).filter("n > 0")
+
+
+def class_coverage(manifest: DataFrame, classes: Sequence[str], least: int, splits: Sequence[str] = ("train", "val")) -> DataFrame:
+    """split, patch_class, n, problem: classes that a split lacks (missing), and classes of under ``least`` patches over both (few, split null)."""
+    spark = manifest.sparkSession
+    want = F.broadcast(spark.createDataFrame([(s, c) for s in splits for c in classes], "split string, patch_class string"))
+    each = manifest.groupBy("split", "patch_class").agg(F.count("*").alias("n"))
+    both = want.join(each, ["split", "patch_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    few = both.groupBy("patch_class").agg(F.sum("n").alias("n")).filter(F.col("n") < least).select(F.lit(None).cast("string").alias("split"), "patch_class", "n", F.lit("few").alias("problem"))
+    return both.filter("n = 0").select("split", "patch_class", "n", F.lit("missing").alias("problem")).unionByName(few)
+
+
 def black_stripe(clean: Column, mask: Column, band: int) -> Column:
     """Whether one of the four edge bands of a grid is over a fifth in the mask and there under 0.02 in the mean.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import missing, r6
 from ..operators import cohort as C
+from ..operators import contracts as K
+from ..operators.prefix import numbered
 from ..sources import tables
 from .views import ABN_SQL, SPLITS_SQL, abnormalities, pred_sql, predictions, splits, table, u_sql
 
@@ -141,10 +143,22 @@ def reconcile_images(spark, d):
     return key.join(locked, ["c_custkey", "view"], "left").select("c_custkey", "view", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("image_id")).alias("image_id"))
 
 
-@query(S + f", a AS ({ABN_SQL}) SELECT a.image_id, a.roi_mask_id, s.patient_id, s.split FROM a JOIN s USING (image_id) WHERE s.split IN ('train', 'val')")
+@query(S + f", a AS (SELECT DISTINCT image_id, roi_mask_id FROM ({ABN_SQL})) SELECT a.image_id, a.roi_mask_id, s.patient_id, s.split, row_number() OVER (PARTITION BY s.split ORDER BY s.patient_id, a.image_id, a.roi_mask_id) AS place FROM a JOIN s USING (image_id) WHERE s.split IN ('train', 'val')")
 def lesion_sources(spark, d):
+    """Regions of train and val images with their place in the canonical order of their split."""
     s = splits(spark, d).filter(F.col("split").isin("train", "val")).select("image_id", "patient_id", "split")
-    return abnormalities(spark, d).select("image_id", "roi_mask_id").join(s, "image_id").select("image_id", "roi_mask_id", "patient_id", "split")
+    rows = abnormalities(spark, d).select("image_id", "roi_mask_id").distinct().join(s, "image_id").select("image_id", "roi_mask_id", "patient_id", "split")
+    return numbered(rows, ["split"], [F.col("patient_id"), F.col("image_id"), F.col("roi_mask_id")], "place")
+
+
+@query(S + f", a AS (SELECT image_id, min(l_linenumber) AS line, count(*) AS n FROM ({ABN_SQL}) GROUP BY 1) SELECT a.image_id, CASE WHEN a.image_id % 17 = 0 THEN 'no_split' ELSE 'other_split' END AS fault, s.split FROM a JOIN s USING (image_id) WHERE a.image_id % 17 = 0 OR (a.image_id % 19 = 0 AND s.split <> 'train')")
+def source_membership(spark, d):
+    """Images of regions that no split holds, or another than was claimed; the failures are rows, not an error."""
+    held = splits(spark, d).select("image_id", "split")
+    claimed = abnormalities(spark, d).select("image_id").distinct().join(held.withColumnRenamed("split", "real"), "image_id")
+    claimed = claimed.withColumn("claim", F.when(F.col("image_id") % 19 == 0, "train").otherwise(F.col("real")))
+    out = C.membership_faults(claimed.select("image_id", F.col("claim").alias("split"), "real"), held.filter("image_id % 17 <> 0"), "image_id", "split")
+    return out.select("image_id", "fault", F.col("real").alias("split"))
 
 
 @query("WITH h AS (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), f AS (SELECT host, min(page_id) AS low FROM h GROUP BY 1) SELECT h.page_id, coalesce(f.low, h.page_id) AS resolved FROM h LEFT JOIN f USING (host)")
@@ -198,11 +212,16 @@ def path_id(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_replace(rel, r"\.[^./]+$", "").alias("id"), F.split_part(rel, F.lit("/"), F.lit(1)).alias("root"))
 
 
-@query("SELECT event_id, event_type, NULL::VARCHAR AS k FROM events")
+@query("""SELECT event_id, concat_ws(';', 'Modality=MG', CASE WHEN event_id % 3 = 0 THEN 'Rows=' || event_id % 7 END, 'k=' || (props->>'k')) AS kept, (1 + (event_id % 2 = 0)::INT + (event_id % 5 = 0)::INT)::INT AS n_removed FROM events""")
 def deidentify(spark, d):
-    """Identifying fields leave the header map; absent ones do not matter."""
-    tags = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("k", "user", "name"))
-    return table(spark, d, "events").select("event_id", "event_type", F.element_at(tags, "k").alias("k"))
+    """Identifying fields leave the header map, in any case of letters; some rows lack some, and other fields stay."""
+    i = F.col("event_id")
+    pair = lambda k, v, there=F.lit(True): F.when(there, F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")))
+    own = [pair("PatientName", F.col("user_id")), pair("patientid", F.col("user_id"), i % 2 == 0), pair("PATIENTBIRTHDATE", F.col("ts"), i % 5 == 0), pair("Modality", F.lit("MG")), pair("Rows", i % 7, i % 3 == 0)]
+    tags = F.map_concat(F.map_from_entries(F.array_compact(F.array(*own))), F.from_json("props", "map<string,string>"))
+    rows = table(spark, d, "events").select("event_id", tags.alias("tags")).withColumn("left", K.kept_fields(F.col("tags"), ["PatientName", "PatientID", "PatientBirthDate", "PatientAddress"]))
+    text = F.transform(F.array_sort(F.map_entries("left")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("event_id", F.array_join(text, ";").alias("kept"), (F.size("tags") - F.size("left")).alias("n_removed"))
 
 
 @query("SELECT DISTINCT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
@@ -330,13 +349,14 @@ def scan_manifest(spark, d):
     return coerce(raw, ["density"], ["image_id", "name"])
 
 
-@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer")
+@query("SELECT c_custkey::VARCHAR AS file_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 11 = 0 THEN 'a;b' ELSE c_mktsegment END AS segment FROM customer")
 def scan_delimited(spark, d):
-    """Semicolon rows parsed with a schema, trimmed, blank as null."""
-    row = F.concat_ws(" ; ", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
-    parsed = table(spark, d, "customer").select(F.from_csv(row, "k string, name string, segment string", {"sep": ";", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    trim = lambda c: F.nullif(F.trim(F.col(f"r.{c}")), F.lit(""))
-    return parsed.select(trim("k").cast("bigint").alias("c_custkey"), trim("name").alias("name"), trim("segment").alias("segment"))
+    """A semicolon file with padded fields, blank ones and a quoted separator, written and read."""
+    path = f"{tables.scratch(spark, 'metadata')}/csv"
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(F.concat(F.lit(" "), k.cast("string"), F.lit("  ")).alias("File Name"), F.when(k % 7 == 0, "   ").otherwise(F.concat(F.lit(" "), "c_name")).alias("Name"), F.when(k % 11 == 0, "a;b").otherwise(F.col("c_mktsegment")).alias("Segment"))
+    rows.write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return tables.read_delimited(spark, path, ["File Name", "Name"], ";").select(F.col("File Name").alias("file_name"), F.col("Name").alias("name"), F.col("Segment").alias("segment"))
 
 
 @query("SELECT vec_id, i AS roi, round(embedding[2 * i + 1]::DOUBLE, 5) AS x, round(embedding[2 * i + 2]::DOUBLE, 5) AS y FROM embeddings, range(4) r(i)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import box_from_center, keyed_uniform, r6, stable_rank
 from ..functions import stable_id as make_id
 from ..operators import cohort as C
+from ..operators import contracts as K
 from ..operators import regions as R
 from .views import ABN_SQL, BOXES_SQL, abnormalities, boxes, splits, table, u_sql
 from .views import SPLITS_SQL as SP
@@ -187,9 +188,58 @@ def patch_manifest(spark, d):
     return _patches(spark, d).select(make_id(42, F.col("split"), F.col("image_id"), F.col("box_id"), "lesion", 0).alias("patch_id"), "image_id", "patient_id", "split", "patch_class", "class_id", "y0", "x0", "y1", "x1")
 
 
-@query(X + "x AS (SELECT 1) SELECT 'inside' AS rule, count(*) AS n FROM b WHERE y1 > 600 OR x1 > 600 HAVING count(*) > 0 UNION ALL SELECT 'known_type', count(*) FROM b WHERE lesion_type <> 'Mass' HAVING count(*) > 0")
+_PLANTED = _PATCH + f""", z AS (SELECT CASE WHEN y0 % 59 = 19 THEN 'same' ELSE box_id END AS patch_id, patient_id,
+  CASE WHEN y0 % 97 = 3 THEN 'test' WHEN x0 % 89 = 5 THEN CASE split WHEN 'train' THEN 'val' ELSE 'train' END ELSE split END AS split,
+  CASE WHEN y0 % 71 = 13 THEN 'unknown' ELSE patch_class END AS patch_class, CASE patch_class {_IDS} END + (x0 % 67 = 15)::INT AS class_id,
+  CASE WHEN (x0 + y0) % 2 = 0 THEN 'background' ELSE 'lesion' END AS patch_kind, CASE WHEN (x0 + y0) % 2 = 1 THEN 100 WHEN y0 % 61 = 17 THEN 5 ELSE 0 END AS px,
+  CASE WHEN x0 % 83 = 7 THEN -1 ELSE y0 END AS y0, x0, CASE WHEN y0 % 79 = 11 THEN 700 ELSE y1 END AS y1, CASE WHEN x0 % 73 = 9 THEN x0 ELSE x1 END AS x1 FROM m),
+lk AS (SELECT DISTINCT patient_id, split FROM s)"""
+
+
+@query(_PLANTED + f""" SELECT 'known_split' AS rule, count(*) AS n FROM z WHERE split NOT IN ('train', 'val') HAVING count(*) > 0
+UNION ALL SELECT 'known_class', count(*) FROM z WHERE patch_class = 'unknown' HAVING count(*) > 0
+UNION ALL SELECT 'class_id', count(*) FROM z WHERE patch_class = 'unknown' OR class_id <> CASE patch_class {_IDS} END HAVING count(*) > 0
+UNION ALL SELECT 'inside_source', count(*) FROM z WHERE y0 < 0 OR x0 < 0 OR y1 > 608 OR x1 > 608 OR y1 <= y0 OR x1 <= x0 HAVING count(*) > 0
+UNION ALL SELECT 'background_off_regions', count(*) FROM z WHERE patch_kind = 'background' AND px <> 0 HAVING count(*) > 0
+UNION ALL SELECT 'locked_' || split, count(*) FROM z WHERE split IN ('train', 'val') AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.patient_id = z.patient_id AND lk.split = z.split) GROUP BY split
+UNION ALL SELECT 'patient_in_one_split', count(*) FROM (SELECT patient_id FROM z GROUP BY 1 HAVING count(DISTINCT split) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'unique_id', count(*) - count(DISTINCT patch_id) FROM z HAVING count(*) > count(DISTINCT patch_id)""")
 def patch_rules(spark, d):
-    return C.violations(boxes(spark, d), {"inside": (F.col("y1") <= 600) & (F.col("x1") <= 600), "positive": F.col("y1") > F.col("y0"), "known_type": F.col("lesion_type") == "Mass"})
+    """Every rule of a patch manifest, on one with a fault of each kind planted."""
+    y0, x0 = F.col("y0"), F.col("x0")
+    other = F.when(F.col("split") == "train", "val").otherwise("train")
+    background = (x0 + y0) % 2 == 0
+    planted = _patches(spark, d).select(
+        F.when(y0 % 59 == 19, "same").otherwise(F.col("box_id")).alias("patch_id"), "patient_id", F.when(y0 % 97 == 3, "test").when(x0 % 89 == 5, other).otherwise(F.col("split")).alias("split"),
+        F.when(y0 % 71 == 13, "unknown").otherwise(F.col("patch_class")).alias("patch_class"), (F.col("class_id") + (x0 % 67 == 15).cast("int")).alias("class_id"),
+        F.when(background, "background").otherwise("lesion").alias("patch_kind"), F.when(~background, 100).when(y0 % 61 == 17, 5).otherwise(0).alias("roi_overlap_px"),
+        F.when(x0 % 83 == 7, -1).otherwise(y0).alias("y0"), "x0", F.when(y0 % 79 == 11, 700).otherwise(F.col("y1")).alias("y1"), F.when(x0 % 73 == 9, x0).otherwise(F.col("x1")).alias("x1"), F.lit(608).alias("source_height"), F.lit(608).alias("source_width"),
+    )
+    return R.manifest_violations(planted, splits(spark, d), CLASSES)
+
+
+def _whole_manifest(spark, d):
+    """Lesion and background patches of the images of train and val."""
+    regions = _patches(spark, d).withColumnRenamed("box_id", "region_id")
+    rows = regions.select("region_id", "y0", "x0", F.explode(F.array(*[F.lit(x) for x in (0, 10, 20, 30, 40)])).alias("dy"))
+    runs = rows.select("region_id", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dy")).alias("xs"), (F.col("x0") + 20 + 2 * F.col("dy")).alias("xe"))
+    tissue = regions.select("image_id").distinct().select("image_id", F.lit(0).alias("y0"), F.lit(608).alias("y1"), F.lit(0).alias("x0"), (150 + F.col("image_id") % 300).alias("x1"))
+    return R.patch_manifest(regions, runs, tissue, CLASSES, lesion=2, background=3, candidates=6, attempts=30, size=96, seed=42, cutoff=0.97, height=608, width=608)
+
+
+_WHOLE = _PATCH + f""", q AS (SELECT box_id AS region_id, y0 + dy AS y, x0 + dy AS xs, x0 + 20 + 2 * dy AS xe FROM m, (SELECT unnest([0, 10, 20, 30, 40]) AS dy)), {_CENTRES.replace("range(1, 12)", "range(1, 6)")},
+h AS (SELECT bx.*, sum(greatest(0, least(w.xe, x0 + 96) - greatest(w.xs, x0))) FILTER (w.y >= y0 AND w.y < y0 + 96) AS px, max(area) AS area FROM bx JOIN w ON w.region_id = bx.region_id JOIN a ON a.region_id = bx.region_id GROUP BY bx.region_id, y0, x0),
+sc AS (SELECT *, greatest(coalesce(px, 0) / area, coalesce(px, 0) / 9216) AS score FROM h),
+pl AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY score >= 0.97 DESC, score DESC, y0, x0) AS place FROM sc),
+bo AS (SELECT * FROM b), bg AS (WITH b AS (SELECT * FROM m), {_BACKGROUND}),
+man AS (SELECT m.image_id, m.box_id AS region_id, m.patient_id, m.split, m.patch_class, 'lesion' AS patch_kind, pl.place, pl.y0, pl.x0, round(pl.score, 6) AS roi_overlap, NULL::DOUBLE AS tissue_fraction FROM pl JOIN m ON m.box_id = pl.region_id WHERE pl.place <= 2
+UNION ALL SELECT bg.image_id, bg.anchor, o.patient_id, o.split, 'background', 'background', bg.place, bg.y0, bg.x0, 0.0, bg.tissue_fraction FROM bg JOIN (SELECT DISTINCT image_id, patient_id, split FROM m) o ON o.image_id = bg.image_id)"""
+
+
+@query(_WHOLE + f" SELECT substr(sha256(concat_ws('|', '42', split, image_id, region_id, patch_kind, place - 1)), 1, 24) AS patch_id, image_id, region_id, patient_id, split, patch_class, CASE patch_class {_IDS} END AS class_id, patch_kind, place, y0, x0, roi_overlap, tissue_fraction FROM man")
+def whole_manifest(spark, d):
+    """The patch manifest with drawn lesion boxes and background boxes."""
+    return _whole_manifest(spark, d).select("patch_id", "image_id", "region_id", "patient_id", "split", "patch_class", "class_id", "patch_kind", "place", "y0", "x0", r6(F.col("roi_overlap")).alias("roi_overlap"), r6(F.col("tissue_fraction")).alias("tissue_fraction"))
 
 
 @query(_PATCH + " SELECT split, patch_class, count(*) AS n, count(DISTINCT patient_id) AS patients FROM m GROUP BY GROUPING SETS ((split, patch_class), (split), ())")
@@ -198,11 +248,11 @@ def patch_counts(spark, d):
     return p.groupingSets([["split", "patch_class"], ["split"], []], "split", "patch_class").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"))
 
 
-@query(_PATCH + f", e AS (SELECT unnest(['train', 'val']) AS split, k AS patch_class FROM (SELECT unnest({list(CLASSES)}) AS k)), e2 AS (SELECT s.s AS split, k.k AS patch_class FROM (SELECT unnest(['train', 'val']) AS s) s, (SELECT unnest({list(CLASSES)}) AS k) k) SELECT e2.split, e2.patch_class, count(m.box_id) AS n FROM e2 LEFT JOIN m ON e2.split = m.split AND e2.patch_class = m.patch_class GROUP BY 1, 2 HAVING count(m.box_id) < 25")
+@query(_WHOLE + f""", ct AS (SELECT sp.v AS split, pc.v AS patch_class, (SELECT count(*) FROM man WHERE man.split = sp.v AND man.patch_class = pc.v) AS n FROM (SELECT unnest(['train', 'val']) AS v) sp, (SELECT unnest({list(CLASSES)}) AS v) pc)
+SELECT split, patch_class, n, 'missing' AS problem FROM ct WHERE n = 0 UNION ALL SELECT NULL, patch_class, sum(n)::BIGINT, 'few' FROM ct GROUP BY 2 HAVING sum(n) < 5000""")
 def class_coverage(spark, d):
-    want = spark.createDataFrame([(s, c) for s in ("train", "val") for c in CLASSES], "split string, patch_class string")
-    got = _patches(spark, d).groupBy("split", "patch_class").agg(F.count("*").alias("n"))
-    return F.broadcast(want).join(got, ["split", "patch_class"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < 25")
+    """Classes that a split of the whole manifest lacks, and classes of under 5,000 patches."""
+    return R.class_coverage(_whole_manifest(spark, d), CLASSES, 5000)
 
 
 _METRIC = u_sql("9", "image_id", "box_id")
@@ -310,8 +360,11 @@ def patch_crop(spark, d):
     return t.select("vec_id", (F.size("c") == 0).alias("empty"), F.size("c").cast("bigint").alias("n"), F.round(F.aggregate("c", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
-@query("SELECT count(*) AS n, count(*) AS equal FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'shape' ELSE 'values' END AS fault, CASE WHEN vec_id % 7 <> 0 AND vec_id % 11 <> 0 THEN 20 END::BIGINT AS place FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0")
 def patch_verify(spark, d):
-    """Arrays cut into rows and put together again equal what they were."""
-    again = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("embedding", y * 8 + 1, 8)))
-    return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count_if(again == F.col("embedding")).alias("equal"))
+    """Arrays cut into rows and put together again, of which some are gone, some are short and some have a changed value."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    again = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("a", y * 8 + 1, 8)))
+    changed = F.transform(again, lambda x, i: F.when((i == 19) & (F.col("vec_id") % 13 == 0), x + 1).otherwise(x).cast("float"))
+    rebuilt = v.filter("vec_id % 7 <> 0").select("vec_id", F.when(F.col("vec_id") % 11 == 0, F.slice(again, 1, 56)).otherwise(changed).alias("a"))
+    return K.array_faults(v, rebuilt, "vec_id")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import r6
+from ..operators import contracts as K
 from ..operators import evidence as E
 from ..operators import scores as S
+from ..sources.tables import read_runs, scratch
 from . import score_queries as Q
 from .views import RUNS_SQL, SPLITS_SQL, runs, splits, table
 
@@ -44,10 +47,15 @@ def verify_hashes(spark, d):
     return E.verify_hashes(recorded, E.content_hashes(pages.filter("page_id % 11 <> 0"), "url", "html"))
 
 
-@query("SELECT 'c_nationkey' AS check, count(DISTINCT c_nationkey) AS n_values, 0 AS n_null FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment), 0 FROM customer")
+@query("""WITH r AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE 'abc' END AS commit_id, CASE WHEN c_custkey % 60 = 9 THEN 'sync' ELSE 'git' END AS source, 'v3' AS preprocessing, c_nationkey::VARCHAR AS evaluation FROM customer),
+c AS (SELECT 'commit_id' AS check, count(DISTINCT commit_id) AS n_values, count(*) FILTER (commit_id IS NULL) AS n_null FROM r UNION ALL SELECT 'source', count(DISTINCT source), count(*) FILTER (source IS NULL) FROM r
+UNION ALL SELECT 'preprocessing', count(DISTINCT preprocessing), count(*) FILTER (preprocessing IS NULL) FROM r UNION ALL SELECT 'evaluation', count(DISTINCT evaluation), count(*) FILTER (evaluation IS NULL) FROM r)
+SELECT * FROM c WHERE n_values <> 1 OR n_null > 0""")
 def freeze_checks(spark, d):
-    c = table(spark, d, "customer").withColumn("same", F.lit("v3"))
-    return E.homogeneous(c, ["same", "c_nationkey", "c_mktsegment"])
+    """Run records of which some lack a commit, some have another source, and all the same code but for one part."""
+    k = F.col("c_custkey")
+    records = table(spark, d, "customer").select(F.when(k % 50 != 7, "abc").alias("commit_id"), F.when(k % 60 == 9, "sync").otherwise("git").alias("source"), F.lit("v3").alias("preprocessing"), F.col("c_nationkey").cast("string").alias("evaluation"))
+    return E.homogeneous(records, ["commit_id", "source", "preprocessing", "evaluation"])
 
 
 @query("WITH s AS (SELECT DISTINCT o_custkey AS model FROM orders WHERE o_orderkey % 3 > 0 UNION SELECT -s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) SELECT coalesce(c_custkey, model) AS model, CASE WHEN model IS NULL THEN 'left' ELSE 'right' END AS side FROM customer FULL JOIN s ON c_custkey = model WHERE c_custkey IS NULL OR model IS NULL")
@@ -67,11 +75,28 @@ def freeze_complete(spark, d):
     return E.incomplete(table(spark, d, "customer").select("c_custkey", commit.alias("commit"), source.alias("source")), "c_custkey", ["commit", "source"])
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE abs(round(s_acctbal, 1) - s_acctbal) > 0.02")
+@query("""WITH r AS (SELECT c_custkey AS model, c_custkey % 20 AS g, c_acctbal AS t FROM customer)
+SELECT model, CASE g WHEN 1 THEN 'no_record' WHEN 2 THEN 'no_sidecar' WHEN 3 THEN 'threshold_drift' WHEN 4 THEN 'no_threshold' WHEN 5 THEN 'no_fixed_specificity' WHEN 6 THEN 'no_temperature' WHEN 7 THEN 'temperature_not_positive' WHEN 8 THEN 'no_fixed_specificity,no_temperature' END AS faults FROM r WHERE g BETWEEN 1 AND 8""")
 def locked_point(spark, d):
-    a = table(spark, d, "supplier")
-    b = a.select("s_suppkey", F.round("s_acctbal", 1).alias("stored"))
-    return a.join(b, "s_suppkey").filter(F.abs(F.col("stored") - F.col("s_acctbal")) > 0.02).select("s_suppkey", "s_name")
+    """Records and sidecars of runs with a fault of each kind planted, and some that differ by less than counts."""
+    runs_ = table(spark, d, "customer").select(F.col("c_custkey").alias("model"), (F.col("c_custkey") % 20).alias("g"), F.col("c_acctbal").cast("double").alias("t"))
+    g = F.col("g")
+    fixed = F.struct(F.when(~g.isin(5, 8), 0.8).alias("target"), F.lit(0.6).alias("threshold"))
+    temperature = F.struct(F.when(g == 7, -1.0).when(~g.isin(6, 8), 1.25).alias("temperature"))
+    records = runs_.filter(g != 1).select("model", F.when(g != 4, F.col("t")).alias("val_threshold"), fixed.alias("fixed_specificity"), temperature.alias("calibration"))
+    sidecars = runs_.filter(g != 2).select("model", F.when(g == 3, F.col("t") + 1e-6).when(g == 9, F.col("t") + 1e-10).otherwise(F.col("t")).alias("youden_j"))
+    return K.locked_point_faults(runs_, records, sidecars).select("model", F.array_join("faults", ",").alias("faults"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS model, c_custkey % 30 AS g FROM customer)
+SELECT model, CASE g WHEN 1 THEN 'calibration' WHEN 2 THEN 'fixed_specificity.density_strata' WHEN 3 THEN 'fixed_specificity,fixed_specificity.density_strata' WHEN 4 THEN 'provenance.version<3' WHEN 5 THEN 'provenance.git.dirty' WHEN 6 THEN 'calibration,provenance.git.dirty' END AS missing FROM r WHERE g BETWEEN 1 AND 6""")
+def audit_complete(spark, d):
+    """Nested run records that lack a block, or part of one, or are old or of a dirty tree."""
+    g = F.col("c_custkey") % 30
+    fixed = F.when(g != 3, F.struct(F.lit(0.8).alias("target"), F.when(g != 2, F.array(F.lit(1))).alias("density_strata")))
+    provenance = F.struct(F.when(g == 4, 2).otherwise(3).alias("version"), F.struct(g.isin(5, 6).alias("dirty")).alias("git"))
+    records = table(spark, d, "customer").select(F.col("c_custkey").alias("model"), F.when(~g.isin(1, 6), F.struct(F.lit(1.2).alias("temperature"))).alias("calibration"), fixed.alias("fixed_specificity"), provenance.alias("provenance"))
+    return K.incomplete_records(records, "model", ["calibration", "fixed_specificity", "fixed_specificity.density_strata"], 3).select("model", F.array_join("missing", ",").alias("missing"))
 
 
 @query("SELECT c_custkey AS model, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS auc FROM customer")
@@ -80,12 +105,16 @@ def upsert_runs(spark, d):
     return E.upsert(old, old.filter("model % 10 = 0").withColumn("auc", F.lit(0.0)))
 
 
-@query(f"WITH r AS ({RUNS_SQL}), q AS (SELECT run_name, round(avg((probability - label) ** 2), 6) AS brier, count(*) AS n FROM r GROUP BY 1) SELECT run_name, brier, n FROM q")
+@query(f"WITH r AS ({RUNS_SQL}), q AS (SELECT run_name, round(avg((probability - label) ** 2), 6) AS brier, count(*) AS n FROM r GROUP BY 1) SELECT run_name, CASE WHEN run_name <> 'model' THEN brier END AS brier, n, CASE WHEN run_name = 'model_seed7' THEN 0.8 END AS target FROM q")
 def scan_runs(spark, d):
-    """Nested records turned back into rows."""
+    """Nested records written as JSON files and read by their schema: one lacks its test block, two a block that the schema has."""
+    folder = f"{scratch(spark, 'runs')}/store"
     each = S.prob_quality(runs(spark, d), ["run_name"]).join(runs(spark, d).groupBy("run_name").agg(F.count("*").alias("n")), "run_name")
-    record = each.select(F.to_json(F.struct("run_name", F.struct(r6(F.col("brier")).alias("brier")).alias("test"), "n")).alias("j"))
-    return record.select(F.from_json("j", "run_name string, test struct<brier:double>, n bigint").alias("r")).select("r.run_name", F.col("r.test.brier").alias("brier"), "r.n")
+    test = F.when(F.col("run_name") != "model", F.struct(r6(F.col("brier")).alias("brier"), F.lit("x").alias("not_in_schema")))
+    fixed = F.when(F.col("run_name") == "model_seed7", F.struct(F.lit(0.8).alias("target")))
+    each.select("run_name", test.alias("test"), "n", fixed.alias("fixed")).groupBy().agg(F.collect_list(F.struct("run_name", "test", "n", "fixed")).alias("runs")).write.json(folder)
+    schema = T.StructType.fromDDL("run_name string, test struct<brier:double>, n bigint, fixed struct<target:double>")
+    return read_runs(spark, folder, schema).select("run_name", F.col("test.brier").alias("brier"), "n", F.col("fixed.target").alias("target"))
 
 
 _HIST = "h AS (SELECT user_id % 20 AS run, (epoch_us(ts) // 3600000000) AS epoch, round(avg(value), 6) AS val_auc FROM events GROUP BY 1, 2)"

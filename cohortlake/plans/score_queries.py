@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import clipped_logit, clipped_sigmoid, keyed_uniform, r6
 from ..operators import audits as A
 from ..operators import bootstrap as B
+from ..operators import contracts as K
 from ..operators import scores as S
 from ..operators.resample import rank_sums, weight_vectors
 from ..sources.tables import cut
@@ -155,11 +156,32 @@ def subgroup_sens(spark, d):
     return runs(spark, d).groupBy("run_name", "density").agg(r6(F.avg(hit)).alias("sensitivity"))
 
 
-@query(P + "x AS (SELECT 1) SELECT image_id, CASE WHEN probability > 0.95 THEN 'high_score' END AS fault FROM pred WHERE probability > 0.95")
+_FAULTY = """z AS (SELECT run_name, CASE WHEN image_id % 101 = 3 THEN NULL WHEN image_id % 103 = 4 THEN -1 ELSE image_id END AS image_id, CASE WHEN image_id % 107 = 5 THEN NULL ELSE patient_id END AS patient_id,
+  CASE image_id % 109 WHEN 6 THEN 2 WHEN 7 THEN NULL ELSE label END AS label, CASE image_id % 113 WHEN 8 THEN NULL WHEN 9 THEN 'nan'::DOUBLE WHEN 10 THEN 'inf'::DOUBLE WHEN 11 THEN 1.5 WHEN 12 THEN -0.1 ELSE probability END AS probability FROM runs),
+n AS (SELECT run_name, image_id, count(*) AS copies FROM z WHERE image_id IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _faulty(spark, d):
+    """The runs with a fault of each kind planted."""
+    i = F.col("image_id")
+    p = F.when(i % 113 == 8, None).when(i % 113 == 9, float("nan")).when(i % 113 == 10, float("inf")).when(i % 113 == 11, 1.5).when(i % 113 == 12, -0.1).otherwise(F.col("probability"))
+    label = F.when(i % 109 == 6, 2).when(i % 109 == 7, None).otherwise(F.col("label"))
+    return runs(spark, d).select("run_name", F.when(i % 101 == 3, None).when(i % 103 == 4, -1).otherwise(i).alias("image_id"), F.when(i % 107 == 5, None).otherwise(F.col("patient_id")).alias("patient_id"), label.alias("label"), p.alias("probability"))
+
+
+@query(P + _FAULTY + """ SELECT run_name, image_id, faults FROM (SELECT z.run_name, z.image_id, concat_ws(',', CASE WHEN z.image_id IS NULL OR patient_id IS NULL THEN 'no_id' END, CASE WHEN copies > 1 THEN 'repeated_id' END, CASE WHEN label IS NULL OR label NOT IN (0, 1) THEN 'label' END,
+  CASE WHEN probability IS NULL OR isnan(probability) OR isinf(probability) THEN 'not_finite' WHEN probability < 0 OR probability > 1 THEN 'range' END) AS faults FROM z LEFT JOIN n ON n.run_name = z.run_name AND n.image_id = z.image_id) WHERE faults <> ''""")
 def validate_scores(spark, d):
-    p = F.col("probability")
-    fault = F.when(p.isNull() | F.isnan(p) | ~p.between(0, 1), "range").when(~F.col("label").isin(0, 1), "label").when(p > 0.95, "high_score")
-    return predictions(spark, d).select("image_id", fault.alias("fault")).filter("fault is not null")
+    """Scored rows with a fault of each kind planted, and every reason of a row."""
+    return K.score_faults(_faulty(spark, d)).select("run_name", "image_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query(P + "z AS (SELECT CASE WHEN run_name = 'model' THEN 'model' ELSE 'rest' END AS run_name, seed, CASE WHEN run_name = 'model' THEN 1 ELSE label END AS label FROM runs) SELECT run_name, concat_ws(',', CASE WHEN count(DISTINCT label) < 2 THEN 'one_label' END, CASE WHEN count(DISTINCT seed) > 1 THEN 'mixed_seed' END) AS faults FROM z GROUP BY 1 HAVING count(DISTINCT label) < 2 OR count(DISTINCT seed) > 1")
+def run_contract(spark, d):
+    """A run of one label and one that mixes two seeds."""
+    one = F.col("run_name") == "model"
+    mixed = runs(spark, d).withColumns({"label": F.when(one, 1).otherwise(F.col("label")), "run_name": F.when(one, "model").otherwise("rest")})
+    return K.run_faults(mixed, constant=["seed"]).select("run_name", F.array_join("faults", ",").alias("faults"))
 
 
 @query(P + "x AS (SELECT 1) SELECT run_name, image_id, (probability >= 0.5)::INT AS predicted_label FROM runs")
