@@ -348,6 +348,34 @@ def test_rule_order_follows_rejection_per_cost(docs):
     assert value == sorted(value, reverse=True) and all(0 <= share <= 1 < share + seconds + 1 for _, share, seconds in ordered)
 
 
+def test_rule_order_is_the_same_in_every_run(docs):
+    order = lambda df: [r.name for r, _, _ in quality.order_rules(df, quality.rules())]
+    assert len({tuple(order(docs)) for _ in range(3)}) == 1
+
+
+def test_dear_rules_go_last_and_sharp_ones_first(spark):
+    rows = spark.createDataFrame([(i, "bad " * 30 if i < 3 else f"w{i} " * 30) for i in range(10)], "doc_id int, text string")
+    bad = lambda c: c("n_distinct_words") < 0
+    chosen = [
+        quality.Rule("dear", lambda c: (c("n_top_word") >= 0) & (c("n_capitals") == 0)),
+        quality.Rule("cheap", lambda c: c("n_words") == 30),
+        quality.Rule("never", bad),
+        quality.Rule("dear_and_never", lambda c: c("n_top_word") < 0),
+        quality.Rule("middle", lambda c: c("n_capitals") == 0),
+    ]
+    got = quality.order_rules(rows, chosen)
+    assert [r.name for r, _, _ in got] == ["cheap", "middle", "dear", "never", "dear_and_never"]
+    assert [share for _, share, _ in got] == [1, 1, 1, 0, 0]
+    assert [round(work) for _, _, work in got][:2] == [1, 1 + round(rows.agg(F.avg(F.length("text"))).first()[0])]
+
+
+@pytest.mark.parametrize(("text", "rule"), [("spam " * 12 + " ".join(f"w{i}" for i in range(17)), "one_word"), (" ".join(["https://x.y/a"] * 3 + ["www.z"] * 2 + [f"w{i}" for i in range(18)]), "links")])
+def test_rules_of_words(spark, text, rule):
+    rule = next(r for r in quality.rules() if r.name == rule)
+    df = spark.createDataFrame([(1, text), (2, text.replace("spam", "ham", 3).replace("www", "w", 1)), (3, None)], "doc_id int, text string")
+    assert {r.doc_id: r.rejected_by for r in quality.apply_cascade(df, [rule]).collect()} == {1: rule.name, 2: None, 3: None}
+
+
 def test_marginals():
     rng = np.random.default_rng(0)
     e, move, begins = rng.normal(size=(7, 2)), rng.normal(size=(2, 2)), np.array([1, 0, 0, 1, 0, 0, 0], bool)
