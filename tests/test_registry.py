@@ -6,7 +6,7 @@ import pytest
 from cohortlake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["roc_auc", "youden", "collapse_images", "overlap_ledger", "roi_overlap", "bootstrap_ci", "verify_hashes", "sink_splits", "sink_predictions", "qa_package", "context_window", "heatmap_roi", "heatmap_panel", "review_select", "background_boxes", "reader_rules", "freeze_models", "freeze_complete", "paired_ci", "statistics"]
+SOME = ["roc_auc", "youden", "collapse_images", "overlap_ledger", "roi_overlap", "bootstrap_ci", "verify_hashes", "sink_splits", "sink_predictions", "qa_package", "context_window", "heatmap_roi", "heatmap_panel", "review_select", "background_boxes", "reader_rules", "freeze_models", "freeze_complete", "paired_ci", "statistics", "run_audit", "external_record", "temperature", "leakage_pairs", "validate_scores", "locked_point", "audit_complete", "scan_case_files", "path_ladder", "best_image", "folder_series", "cache_refresh", "lock_record", "freeze_record", "freeze_compare", "drawn_lesion_boxes", "whole_manifest", "class_coverage", "patch_rules", "patch_verify", "deidentify", "scan_runs", "scan_delimited", "source_membership", "black_stripe"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
