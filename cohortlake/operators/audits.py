@@ -86,3 +86,10 @@ def audit_record(test: DataFrame, locked: DataFrame, keys: Sequence[str], strata
     if validation is not None:
         parts.append(_long(S.panel(validation.join(points, k), F.col("fixed"), k, p, y), k, rates, "fixed.validation."))
     return reduce(DataFrame.unionByName, parts)
+
+
+def strata_table(rows: DataFrame, keys: Sequence[str], min_n: int = 10) -> DataFrame:
+    """Strata rows for print: four places, and the reason of those without figures, a column only if some have none."""
+    figures = [c for c in rows.columns if c not in (*keys, "level", "n")]
+    out = rows.select(*keys, "level", "n", *[F.round(c, 4).alias(c) for c in figures], F.when(F.col("n") < min_n, F.lit(f"n<{min_n}")).alias("reason"))
+    return out.drop("reason") if out.filter("reason is not null").isEmpty() else out

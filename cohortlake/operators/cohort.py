@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed_uniform
+from .prefix import along, numbered
 
 
 def collapse_images(rows: DataFrame, order: Column, image: str = "image_id", label: str = "label", kind: str = "lesion_type") -> DataFrame:
@@ -36,8 +37,8 @@ def clean(df: DataFrame, ledger: DataFrame, patient: str = "patient_id") -> Data
 def carve(train: DataFrame, fraction: float, seed: int, patient: str = "patient_id", label: str = "label") -> DataFrame:
     """The rows with ``part``: by outcome, the first ceil(fraction * n) patients of a keyed order go to val."""
     outcome = train.groupBy(patient).agg(F.max(label).alias("outcome"))
-    w = Window.partitionBy("outcome")
-    ranked = outcome.withColumn("at", F.row_number().over(w.orderBy(keyed_uniform(seed, F.col(patient)), patient))).withColumn("n", F.count("*").over(w))
+    one = F.lit(1).cast("bigint")
+    ranked = along(outcome, ["outcome"], [keyed_uniform(seed, F.col(patient)), F.col(patient)], sums={"at": one}, wholes={"n": one})
     side = ranked.select(patient, F.when(F.col("at") <= F.ceil(fraction * F.col("n")), "val").otherwise("train").alias("part"))
     return train.join(side, patient)
 
@@ -48,7 +49,7 @@ def stratified_sample(df: DataFrame, n: int, seed: int, ident: str = "image_id",
     counts = df.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     want_pos = F.least(F.col("pos"), F.greatest(F.lit(1), F.lit(n // 2)))
     quota = counts.select(want_pos.alias("q1"), F.least(F.col("neg"), F.greatest(F.lit(1), F.lit(n) - want_pos)).alias("q0"))
-    ranked = df.withColumn("u", u).withColumn("at", F.row_number().over(Window.partitionBy(label).orderBy("u", ident)))
+    ranked = numbered(df.withColumn("u", u), [label], [F.col("u"), F.col(ident)])
     return ranked.filter(F.col("at") <= n).join(F.broadcast(quota)).filter(F.col("at") <= F.when(F.col(label) == 1, F.col("q1")).otherwise(F.col("q0"))).drop("at", "q0", "q1")
 
 

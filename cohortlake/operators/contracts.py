@@ -87,3 +87,12 @@ def kept_fields(tags: Column, identifying: Sequence[str]) -> Column:
 def canonical_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows in global order of the columns; for the sink alone, for it range-partitions the rows."""
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+
+
+def schema_faults(df: DataFrame, required: Sequence[str], label: str = "label", allowed: Sequence = (0, 1)) -> DataFrame:
+    """fault, value, n: required columns that are missing, and label values that are not allowed, null aside, with their rows."""
+    gone = df.sparkSession.createDataFrame([("missing_column", c, None) for c in required if c not in df.columns], "fault string, value string, n bigint")
+    if label not in df.columns:
+        return gone
+    bad = df.filter(~F.col(label).isin(*allowed)).groupBy(F.col(label).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return gone.unionByName(bad.select(F.lit("label").alias("fault"), "value", "n"))

@@ -193,11 +193,11 @@ def spread(df: DataFrame, group: Sequence[str], n: int, metric: str, ident: str,
 
     A group of fewer than n rows is an error, or without ``strict`` is kept whole.
     """
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("at", F.row_number().over(w.orderBy(metric, ident)) - 1).withColumn("cnt", F.count("*").over(w))
+    one = F.lit(1).cast("bigint")
+    ranked = along(df, group, [F.col(metric), F.col(ident)], sums={"at": one}, wholes={"cnt": one}).withColumn("at", F.col("at") - 1)
     if strict:
         short = F.concat(F.lit(f"{n} rows are wanted of a group that has "), F.col("cnt").cast("string"))
-        ranked = ranked.withColumn("at", F.when(F.col("cnt") < n, F.raise_error(short).cast("int")).otherwise(F.col("at")))
+        ranked = ranked.withColumn("at", F.when(F.col("cnt") < n, F.raise_error(short).cast("bigint")).otherwise(F.col("at")))
     if n == 1:
         return ranked.filter(F.col("at") == F.floor(F.col("cnt") / 2)).drop("at", "cnt")
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("cnt") - 1) / (n - 1)))
@@ -246,6 +246,27 @@ def take_partitioned(df: DataFrame, n: int, strategy: str, rank: Column, metric:
     return out
 
 
+NAMES = ("patch_id", "patch_path", "patient_id", "image_id", "roi_mask_id", "split", "patch_class", "patch_kind", "fallback_reason")
+
+
+def normalised_names(manifest: DataFrame) -> DataFrame:
+    """The manifest with ids and names as text and no reason as an empty one; columns that it lacks stay away."""
+    out = manifest.withColumn("fallback_reason", F.coalesce("fallback_reason", F.lit("")))
+    return out.withColumns({c: F.col(c).cast("string") for c in NAMES if c in out.columns})
+
+
+def review_summary(manifest: DataFrame, selection: DataFrame, checks: DataFrame) -> DataFrame:
+    """item, n: the size of the manifest, what was chosen by group and by group and split, and what the checks of the chosen found.
+
+    ``selection`` has audit_group and split, ``checks`` exact, patch_kind and roi_overlap_px.
+    """
+    size = manifest.agg(F.count("*").alias("n_patches"), F.count_distinct("patient_id").alias("n_patients"), F.count_if(F.coalesce("fallback_reason", F.lit("")) != "").alias("n_fallback_patches"), F.count_if(F.col("patch_kind") == "background").alias("n_background_patches"))
+    found = checks.agg(F.count("*").alias("n_checked"), F.count_if("exact").alias("n_exact_matches"), F.count_if((F.col("patch_kind") == "background") & (F.col("roi_overlap_px") > 0)).alias("n_background_overlaps"))
+    chosen = selection.groupingSets([["audit_group"], ["audit_group", "split"]], "audit_group", "split").agg(F.count("*").alias("n"))
+    chosen = chosen.select(F.concat_ws("/", F.lit("selected"), "audit_group", "split").alias("item"), "n")
+    return size.unpivot([], size.columns, "item", "n").unionByName(found.unpivot([], found.columns, "item", "n")).unionByName(chosen)
+
+
 def context_window(boxes: DataFrame, margin_patches: float, height: Column, width: Column) -> DataFrame:
     """Adds cy0, cy1, cx0, cx1: the box with a margin of so many patch sizes, cut at the frame."""
     margin = F.bround(F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) * margin_patches).cast("int")

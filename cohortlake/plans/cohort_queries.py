@@ -81,10 +81,12 @@ def image_rois(spark, d):
     return abnormalities(spark, d).filter(~missing(F.col("roi_mask_id"))).groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set("roi_mask_id")), ",").alias("rois"))
 
 
-@query("SELECT 'label' AS rule, count(*) AS n FROM labels WHERE quality = 0 HAVING count(*) > 0 UNION ALL SELECT 'lang', count(*) FROM documents WHERE lang NOT IN ('en', 'de', 'fr') HAVING count(*) > 0")
+@query("SELECT 'missing_column' AS fault, 'roi_mask_id' AS value, NULL::BIGINT AS n UNION ALL SELECT 'label', (doc_id % 37)::VARCHAR, count(*) FROM labels WHERE doc_id % 37 IN (2, 3) GROUP BY 2")
 def validate_manifest(spark, d):
-    a = C.violations(table(spark, d, "labels"), {"label": F.col("quality") == 1})
-    return a.unionByName(C.violations(table(spark, d, "documents"), {"lang": F.col("lang").isin("en", "de", "fr")}))
+    """A manifest without one column, with null labels, which pass, and labels of other values, which do not."""
+    i = F.col("doc_id") % 37
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("image_id"), F.col("doc_id").alias("patient_id"), F.when(i.isin(2, 3), i).when(i != 5, F.col("quality")).alias("label"))
+    return K.schema_faults(rows, ["image_id", "patient_id", "label", "roi_mask_id"])
 
 
 @query("SELECT p_partkey, try_cast(split_part(p_brand, '#', 2) AS INT) AS brand, try_cast(p_type AS INT) AS type_no, nullif(p_name, 'nan') AS name FROM part")

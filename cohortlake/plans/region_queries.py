@@ -293,6 +293,26 @@ def review_counts(spark, d):
     return _review(spark, d).groupBy("split", "patch_class").agg(F.count("*").alias("n"))
 
 
+@query(_PATCH + _ONE + """, f AS (SELECT m.*, (x0 + y0) % 2 = 0 AS bg, y0 % 5 = 1 AS fallback FROM m), ch AS (SELECT sel.*, x0 % 7 <> 0 AS exact, CASE WHEN y0 % 9 = 0 THEN 3 ELSE 0 END AS px, (x0 + y0) % 2 = 0 AS bg FROM sel)
+SELECT 'n_patches' AS item, count(*) AS n FROM f UNION ALL SELECT 'n_patients', count(DISTINCT patient_id) FROM f UNION ALL SELECT 'n_fallback_patches', count(*) FROM f WHERE fallback UNION ALL SELECT 'n_background_patches', count(*) FROM f WHERE bg
+UNION ALL SELECT 'n_checked', count(*) FROM ch UNION ALL SELECT 'n_exact_matches', count(*) FROM ch WHERE exact UNION ALL SELECT 'n_background_overlaps', count(*) FROM ch WHERE bg AND px > 0
+UNION ALL SELECT 'selected/' || patch_class, count(*) FROM sel GROUP BY patch_class UNION ALL SELECT 'selected/' || patch_class || '/' || split, count(*) FROM sel GROUP BY patch_class, split""")
+def review_summary(spark, d):
+    """Counts of a manifest, of the rows chosen for review and of their checks."""
+    kind = F.when((F.col("x0") + F.col("y0")) % 2 == 0, "background").otherwise("lesion")
+    manifest = _patches(spark, d).withColumns({"patch_kind": kind, "fallback_reason": F.when(F.col("y0") % 5 == 1, "few")})
+    chosen = _review(spark, d).withColumn("audit_group", F.col("patch_class"))
+    checks = chosen.select((F.col("x0") % 7 != 0).alias("exact"), kind.alias("patch_kind"), F.when(F.col("y0") % 9 == 0, 3).otherwise(0).alias("roi_overlap_px"))
+    return R.review_summary(manifest, chosen, checks)
+
+
+@query(X + f"{_RUNS}, {_HIT}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (score >= 0.1) DESC, score DESC, y0, x0, box_id) AS place FROM o) SELECT image_id::VARCHAR AS image_id, box_id AS patch_id, score < 0.1 AS has_reason, 0::BIGINT AS null_reasons FROM w WHERE place <= 2")
+def normalised_manifest(spark, d):
+    """Ids as text, and an empty reason where there is none."""
+    out = R.normalised_names(R.best_boxes(_scored(spark, d), ["image_id"], 2, 0.1).withColumnRenamed("box_id", "patch_id"))
+    return out.select("image_id", "patch_id", (F.col("fallback_reason") != "").alias("has_reason"), F.col("fallback_reason").isNull().cast("bigint").alias("null_reasons"))
+
+
 @query(_PATCH + f", q AS (SELECT *, row_number() OVER (PARTITION BY patch_class ORDER BY {_METRIC}, box_id) AS k FROM m) SELECT patch_class, image_id, box_id, k FROM q WHERE k <= 25")
 def hardest(spark, d):
     p = _patches(spark, d).withColumn("metric", keyed_uniform(9, F.col("image_id"), F.col("box_id")))

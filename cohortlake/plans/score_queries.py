@@ -461,6 +461,16 @@ def run_audit(spark, d):
     return out.select("run_name", "item", F.round("value", 5).alias("value"))
 
 
+@query(P + _curve("runs", "run_name || '|' || density") + f""", c AS (SELECT run_name, density::VARCHAR AS level, {_cells("0.5")} FROM runs GROUP BY 1, 2), a AS (SELECT k, {_AUC} AS auc FROM run GROUP BY k),
+l AS (SELECT DISTINCT run_name, unnest(['1', '2', '3', '4', '9']) AS level FROM runs)
+SELECT l.run_name, l.level, coalesce(n, 0) AS n, round(auc, 4) AS auc, round((tp + tn) / n, 4) AS accuracy, round(tp / (tp + fn), 4) AS sensitivity, round(tn / (tn + fp), 4) AS specificity, round(tp / (tp + fp), 4) AS ppv, CASE WHEN n IS NULL THEN 'n<10' END AS reason
+FROM l LEFT JOIN c USING (run_name, level) LEFT JOIN a ON a.k = l.run_name || '|' || l.level""")
+def strata_table(spark, d):
+    """Strata of each run for print, one of which has no rows."""
+    rows = runs(spark, d).withColumn("cut", F.lit(0.5))
+    return A.strata_table(A.strata_rows(rows, ["run_name"], "density", STRATA["density"], "cut"), ["run_name"])
+
+
 _OUTSIDE = "tst AS (SELECT 'outside' AS k, o_custkey AS patient_id, (o_orderkey % 4 + 1)::INT AS density, CASE o_orderstatus WHEN 'F' THEN 'mass' WHEN 'O' THEN 'calcification' ELSE 'mixed' END AS lesion_type, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS label, round(0.8 * " + u_sql("99", "o_orderkey") + " + 0.15 * (o_orderpriority = '1-URGENT')::INT, 3) AS probability FROM orders WHERE o_orderkey % 5 = 0)"
 _INSIDE = f"WITH s AS ({SPLITS_SQL}), val AS (SELECT 'outside' AS k, patient_id, density, lesion_type, label, probability FROM s WHERE split = 'val'), "
 
