@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = cut(e.union(e.select("y", "x")).distinct())
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("label"))
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
+        # a hub has very many edges
+        near = hot_join(both.select("x", F.col("y").alias("node")), labels, "node", "x", 24).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
         # a hub is the label of very many nodes
         up = lower.select("mid").distinct().join(lower.select(F.col("node").alias("mid"), F.col("mid").alias("top")), "mid")

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType, NumericType
 
+from .components import hot_join
 from .packed import Group
 from .shared import cut
 
@@ -71,7 +72,9 @@ def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
     ids = docs.select(F.col(f"`{id_col}`").alias("__id")).filter("__id is not null").distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranks = cut(ids.repartitionByRange(parts, "__id").sortWithinPartitions("__id").withColumn("__rank", F.monotonically_increasing_id()))
-    return docs.join(ranks, F.col(f"`{id_col}`") == F.col("__id"), "left"), F.col("__rank").cast("double")
+    # null ids, and any id that very many rows hold, meet their rank in many tasks
+    keyed = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__row", F.monotonically_increasing_id())
+    return hot_join(keyed, ranks, "__id", "__row", 96, how="left"), F.col("__rank").cast("double")
 
 
 def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = (), group_bytes: int | None = None, bucket_bytes: int | None = None) -> Dealt:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .bktree import Forest
-from .components import connected_components, salted_join
+from .components import connected_components, hot_join, salted_join
 from .packed import Group, Words
 from .shared import cut
 
@@ -168,14 +168,15 @@ def link(nodes: DataFrame, radius: int = RADIUS, count: int | None = None) -> Da
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, fp (signed SimHash), component_id (smallest id reachable by links of ``radius`` bits or less)."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle, seed).withColumn("row", F.monotonically_increasing_id()))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = link(nodes.select("fp"), radius)
     named = labels.withColumnRenamed("node", "fp").join(nodes, "fp")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     tied = salted_join(named.select("fp", "label"), least, "label", "fp").select("fp", "component_id")
-    whole = nodes.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = cut(nodes.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    # very many texts may have one fingerprint, as all empty ones do
+    return hot_join(prints, whole, "fp", "row", 32).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_bktree(spark, sf_dir: str) -> DataFrame:
