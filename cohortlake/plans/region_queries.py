@@ -249,10 +249,10 @@ def patch_counts(spark, d):
 
 
 @query(_WHOLE + f""", ct AS (SELECT sp.v AS split, pc.v AS patch_class, (SELECT count(*) FROM man WHERE man.split = sp.v AND man.patch_class = pc.v) AS n FROM (SELECT unnest(['train', 'val']) AS v) sp, (SELECT unnest({list(CLASSES)}) AS v) pc)
-SELECT split, patch_class, n, 'missing' AS problem FROM ct WHERE n = 0 UNION ALL SELECT NULL, patch_class, sum(n)::BIGINT, 'few' FROM ct GROUP BY 2 HAVING sum(n) < 5000""")
+SELECT split, patch_class, n, 'missing' AS problem FROM ct WHERE n = 0 UNION ALL SELECT NULL, patch_class, sum(n)::BIGINT, 'few' FROM ct GROUP BY 2 HAVING sum(n) < 30000""")
 def class_coverage(spark, d):
-    """Classes that a split of the whole manifest lacks, and classes of under 5,000 patches."""
-    return R.class_coverage(_whole_manifest(spark, d), CLASSES, 5000)
+    """Classes that a split of the whole manifest lacks, and classes of under 30,000 patches."""
+    return R.class_coverage(_whole_manifest(spark, d), CLASSES, 30000)
 
 
 _METRIC = u_sql("9", "image_id", "box_id")
