@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SAMPLE = 2000
 #: Work of a measure for each character or word of a text, one pass of a pattern over a character being 1; measured once, on 3,000 documents.
-WORK = {"n_distinct_words": ("words", 10.0), "n_capitals": ("chars", 1.0), "n_digits": ("chars", 1.0), "n_marks": ("chars", 1.0), "n_brackets": ("chars", 1.0), "n_top_word": ("words", 40.0), "n_links": ("words", 2.0), "n_repeat_words": ("words", 17.0)}
+WORK = {"n_distinct_words": ("words", 10.0), "n_capitals": ("chars", 1.0), "n_digits": ("chars", 1.0), "n_marks": ("chars", 1.0), "n_brackets": ("chars", 1.0), "n_top_word": ("words", 12.0), "n_links": ("words", 2.0), "n_repeat_words": ("words", 17.0)}
 COMPARED = 1.0  # work of a condition on counts that are there
 Condition = Callable[[Callable[[str], Column]], Column]
 
@@ -53,14 +53,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repea
 
 
 def _most(words_: Column) -> Column:
-    """How often the most frequent word stands."""
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    """How often the most frequent word stands, if that is over two fifths of the words; else at most that.
 
-    def step(acc: Column, w: Column) -> Column:
-        run = F.when(acc["w"] == w, acc["run"] + 1).otherwise(1)
-        return F.struct(w.alias("w"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    In order, such a word takes up over two fifths of the places in a row, so it
+    stands at the first place or two or four fifths on.
+    """
+
+    def times(s: Column, fifths: int) -> Column:
+        return F.size(s) - F.size(F.array_remove(s, F.get(s, F.floor(F.size(s) * fifths / 5).cast("int"))))
 
-    return F.aggregate(F.sort_array(words_), start, step, lambda acc: acc["best"])
+    return F.get(F.transform(F.array(F.sort_array(words_)), lambda s: F.greatest(*[F.coalesce(times(s, k), F.lit(0)) for k in (0, 2, 4)])), F.lit(0))
 
 
 def _measures(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[str], Column]]:
