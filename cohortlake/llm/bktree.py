@@ -1,4 +1,4 @@
-"""BK-trees of 64-bit fingerprints, searched level by level for many queries at once."""
+"""BK-trees of fingerprints of one or more 64-bit words, searched level by level for many queries at once."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import numpy as np
 
 
 class Forest:
-    """BK-trees of many shards at once; items sorted by shard, distinct within one."""
+    """BK-trees of many shards at once; items sorted by shard, distinct within one; ``value`` a word or a row of words each."""
 
     def __init__(self, shard: np.ndarray, value: np.ndarray):
-        self.value, n = value, len(value)
+        self.value, n = np.asfortranarray(value.reshape(len(value), -1 if len(value) else 1)), len(value)
+        self.most = 64 * self.value.shape[1]
         root_at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         self.root = np.repeat(root_at, np.diff(np.append(root_at, n)))
         self.parent = np.full(n, -1, np.int64)
@@ -17,7 +18,7 @@ class Forest:
         todo = np.flatnonzero(here != np.arange(n))
         edges, depth = [], []
         while len(todo):
-            key = here[todo] * 65 + np.bitwise_count(value[todo] ^ value[here[todo]])
+            key = here[todo] * (self.most + 1) + self.apart(todo, here[todo])
             order = np.argsort(key, kind="stable")
             todo, key = todo[order], key[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -35,15 +36,22 @@ class Forest:
             np.add.at(self.below, self.parent[level], self.below[level])
         self.live = np.ones(n, bool)
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of differing bits of each pair of items."""
+        out = np.zeros(len(a), np.int64)
+        for word in self.value.T:
+            out += np.bitwise_count(word[a] ^ word[b])
+        return out
+
     def search(self, query: np.ndarray, radius: int, itself: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs of the items still to be found within the radius; with ``itself`` the query too, if it is."""
         found, node = [], self.root[query]
         while len(query):
-            far = np.bitwise_count(self.value[query] ^ self.value[node]).astype(np.int64)
+            far = self.apart(query, node)
             hit = (far <= radius) & self.live[node] & ((query != node) | itself)
             found.append((query[hit], node[hit]))
-            low = np.searchsorted(self.code, node * 65 + np.maximum(far - radius, 1))
-            size = np.searchsorted(self.code, node * 65 + np.minimum(far + radius, 64), side="right") - low
+            low = np.searchsorted(self.code, node * (self.most + 1) + np.maximum(far - radius, 1))
+            size = np.searchsorted(self.code, node * (self.most + 1) + np.minimum(far + radius, self.most), side="right") - low
             at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
             query, node = np.repeat(query, size), self.child[at]
             more = self.below[node] > 0
