@@ -34,7 +34,8 @@ from .token_counts import load
 
 LENGTH = 2048
 _KEPT = 1 << 18
-_TAILS = {".", ","}
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_AT_ONCE = 512
 
 
 class WordIds:
@@ -43,28 +44,61 @@ class WordIds:
     A full table becomes the old one; a unit met again moves to the new one, so
     frequent units stay and rare ones go, in at most twice ``_KEPT`` and a batch.
 
+    A full stop or other marks after letters are a word of their own by the
+    splitter's rules, so only the letters and the marks are encoded. Units of
+    letters alone are one word each, whose last id is that of a token with the
+    end-of-word suffix; they are encoded many at once, joined by spaces, and
+    told apart by these ids, if the model has that suffix and there are as many.
+
     Lower case is part of the model's rules for every character alone, as
     Python has it but for a final sigma; special strings are matched before it.
     """
 
     def __init__(self, tokenizer, code: str, lower: bool):
         self.tokenizer, self.code, self.lower, self.known, self.old = tokenizer, code, lower, {}, {}
+        from tokenizers.pre_tokenizers import ByteLevel  # after load() has set its environment
+
+        suffix, vocab = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab()
+        # a word has such an id at all only if no last byte is without one
+        self.last = None
+        if suffix and all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def encoded(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each unit."""
+        words = [u for u in units if u.isalpha()] if self.last is not None else []
+        single, out = list(set(units).difference(words)), {}
+        lots = [words[i : i + _AT_ONCE] for i in range(0, len(words), _AT_ONCE)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.code)
+            stop = (ids.itemsize * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(stop) == len(lot):
+                raw = ids.tobytes()
+                out.update(zip(lot, [raw[a:z] for a, z in zip([0, *stop[:-1]], stop, strict=True)], strict=True))
+            else:
+                single += lot
+        encoded = self.tokenizer.encode_batch_fast(single, add_special_tokens=False)
+        out.update(zip(single, (array(self.code, e.ids).tobytes() for e in encoded), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if self.lower and "<" not in t and "Σ" not in t else t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > _KEPT:
             self.known, self.old = {}, self.known
         new = set().union(*split).difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update((u, self.old[u]) for u in again)
-        new -= again
-        # letters before a full stop or comma are a word of their own by the splitter's rules
-        tails = [u for u in new if u[-1:] in _TAILS and u[:-1].isalpha()]
-        units = list((new.difference(tails) | {u[:-1] for u in tails} | _TAILS).difference(self.known))
+        again = [u for u in new if u in self.old]  # an intersection with a table goes through all of it
+        self.known.update([(u, self.old[u]) for u in again])
+        new.difference_update(again)
+        bases = {u: base for u in new if (base := u.rstrip(_MARKS)) != u and base.isalpha()}
+        parts = new.difference(bases).union(bases.values(), {u[len(base) :] for u, base in bases.items()})
+        units = parts.difference(self.known)
+        again = [u for u in units if u in self.old]
+        self.known.update([(u, self.old[u]) for u in again])
+        units = list(units.difference(again))
         if units:
-            encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-            self.known.update(zip(units, (array(self.code, e.ids).tobytes() for e in encoded), strict=True))
-        self.known.update((u, self.known[u[:-1]] + self.known[u[-1]]) for u in tails)
+            self.known.update(self.encoded(units))
+        self.known.update([(u, self.known[base] + self.known[u[len(base) :]]) for u, base in bases.items()])
         known = self.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
 
