@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType, NumericType
 
 from .components import hot_join
-from .packed import Group
+from .packed import Group, forget_powers
 from .shared import cut
 
 GROUP, BUCKET, FROM = 2 << 20, 16 << 20, 32 << 30  # bytes of text, up to a corpus of FROM bytes
@@ -146,6 +146,7 @@ def drop_tables() -> None:
 
 def give_back() -> None:
     """Returns freed memory to the machine: a worker outlives its task, and the next stage may not need as much."""
+    forget_powers()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -184,7 +185,10 @@ def answer(asked: DataFrame, step: Callable[[np.ndarray, list[bytes]], Iterable[
         order = np.argsort(gs, kind="stable")
         payloads = table.column("payload").to_pylist()
         rows = list(step(gs[order], [payloads[i] for i in order]))
-        return pa.table([pa.array([g for g, _ in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=_ANSWER)
+        out = pa.table([pa.array([g for g, _ in rows], pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=_ANSWER)
+        del payloads, rows
+        give_back()
+        return out
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 

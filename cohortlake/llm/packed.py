@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, kept per process."""
+    """The first ``n`` powers of the base and of its inverse, kept until ``forget_powers``."""
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 16)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
@@ -35,6 +35,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def forget_powers() -> None:
+    """Frees the powers, 16 bytes for each byte of the largest group so far; they are soon made again."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values, in place where it can."""
     x = x ^ (x >> U64(30))

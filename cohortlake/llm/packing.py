@@ -106,13 +106,35 @@ class WordIds:
 @lru_cache(maxsize=1)
 def _word_ids(model: bytes, code: str) -> WordIds:
     """One table a process, kept from task to task."""
-    lower = any(n.get("type") == "Lowercase" for n in ((json.loads(model).get("normalizer") or {}).get("normalizers") or []))
-    return WordIds(load(model), code, lower)
+    tokenizer = load(model)
+    # its rules alone, not the whole model as Python objects
+    rules = json.loads(tokenizer.normalizer.__getstate__()) if tokenizer.normalizer else {}
+    out = WordIds(tokenizer, code, any(n.get("type") == "Lowercase" for n in rules.get("normalizers") or []))
+    exchange.give_back()
+    return out
 
 
 exchange.TABLES.append(_word_ids.cache_clear)
 
 
+def cut_at(batches: Iterable[pa.RecordBatch], length: int) -> Iterable[pa.RecordBatch]:
+    """The parts of each document (doc_id, doc_tokens, ids, at) between multiples of ``length``, about a megabyte of ids at a time."""
+    for table in exchange.pieces(batches, "ids"):
+        batch = table.combine_chunks().to_batches()[0]
+        n, at = batch.column("doc_tokens").to_numpy(), batch.column("at").to_numpy()
+        raw = batch.column("ids").to_pylist()
+        first, last = at // length, (at + n - 1) // length
+        many = last - first + 1
+        row = np.repeat(np.arange(len(n)), many)
+        sequence = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+        begin = np.maximum(sequence * length, at[row])
+        size = np.minimum((sequence + 1) * length, (at + n)[row]) - begin
+        start = begin - at[row]
+        width = len(raw[0]) // int(n[0])
+        wide = [np.frombuffer(raw[r], f"<u{width}")[s : s + k].astype("<u4").tobytes() for r, s, k in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
+        yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(size), pa.array(wide, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+
 def pack_sequences(docs: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     with open(model_path, "rb") as file:
@@ -137,25 +159,8 @@ def pack_sequences(docs: DataFrame, model_path: str, end_id: int, id_col: str =
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
-    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, at = batch.column("doc_tokens").to_numpy(), batch.column("at").to_numpy()
-            raw = batch.column("ids").to_pylist()
-            first, last = at // length, (at + n - 1) // length
-            many = last - first + 1
-            row = np.repeat(np.arange(len(n)), many)
-            sequence = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-            begin = np.maximum(sequence * length, at[row])
-            size = np.minimum((sequence + 1) * length, (at + n)[row]) - begin
-            start = begin - at[row]
-            width = len(raw[0]) // int(n[0])
-            wide = [np.frombuffer(raw[r], f"<u{width}")[s : s + k].astype("<u4").tobytes() for r, s, k in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(size), pa.array(wide, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
     placed = encoded.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("before")).alias("at"))
-    return placed.mapInArrow(pieces, f"doc_id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.mapInArrow(lambda batches: cut_at(batches, length), f"doc_id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
