@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def content_hashes(df: DataFrame, path: str, content: str) -> DataFrame:
+def content_hashes(df: DataFrame, path: str, content: str, keep: Sequence[str] = ()) -> DataFrame:
+    """path, exists, size_bytes, sha256 of each row, with the columns to ``keep``, since paths may repeat."""
     body = F.encode(F.coalesce(F.col(content), F.lit("")), "UTF-8")
-    return df.select(F.col(path).alias("path"), F.col(content).isNotNull().alias("exists"), F.octet_length(body).cast("bigint").alias("size_bytes"), F.sha2(body, 256).alias("sha256"))
+    return df.select(*keep, F.col(path).alias("path"), F.col(content).isNotNull().alias("exists"), F.octet_length(body).cast("bigint").alias("size_bytes"), F.sha2(body, 256).alias("sha256"))
 
 
 def tree_digest(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ _FILES = "f AS (SELECT url AS path, sha256(coalesce(html, '')) AS h, page_id % 5
 
 @query(f"WITH {_FILES}, l AS (SELECT folder, path || chr(31) || h || chr(10) AS line, path, h FROM f) SELECT folder, count(*) AS n, sha256(string_agg(line, '' ORDER BY path, h)) AS digest FROM l GROUP BY 1")
 def tree_digest(spark, d):
-    files = E.content_hashes(table(spark, d, "pages"), "url", "html").join(table(spark, d, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 5).alias("folder")).distinct(), "path")
+    files = E.content_hashes(table(spark, d, "pages").withColumn("folder", F.col("page_id") % 5), "url", "html", ["folder"])
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat(f["path"], F.lit("\x1f"), f["sha256"], F.lit("\n")))
     return files.groupBy("folder").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, ""), 256).alias("digest"))
 
