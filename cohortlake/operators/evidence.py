@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +22,20 @@ def tree_digest(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"), F.count("*").alias("n"))
 
 
-def verify_hashes(recorded: DataFrame, actual: DataFrame) -> DataFrame:
-    """path, reason of each recorded file that is gone or differs."""
-    both = recorded.select("path", F.col("sha256").alias("want")).join(actual.select("path", F.col("sha256").alias("have")), "path", "left")
-    return both.filter("have is null or have <> want").select("path", F.when(F.col("have").isNull(), "missing").otherwise("changed").alias("reason"))
+def verify_hashes(recorded: DataFrame, actual: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """keys, reason of each recorded file that is gone or differs, one row a recorded one.
+
+    Where paths repeat, ``keys`` name what tells files apart besides; null keys
+    are keys. Of several actual files of the same keys one has to agree.
+    """
+    want, have = recorded.select(*keys, "sha256"), actual.select(*keys, "sha256").distinct()
+
+    def met(rows: DataFrame, there: DataFrame, on: Sequence[str], mark: str) -> DataFrame:
+        there = there.select(*[F.col(c).alias(f"__{c}") for c in on], F.lit(True).alias(mark))
+        return rows.join(there, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]), "left").drop(*[f"__{c}" for c in on])
+
+    both = met(met(want, have, [*keys, "sha256"], "__same"), have.select(*keys).distinct(), keys, "__there")
+    return both.filter("__same is null").select(*keys, F.when(F.col("__there").isNull(), "missing").otherwise("changed").alias("reason"))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:

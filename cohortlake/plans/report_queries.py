@@ -43,8 +43,9 @@ def tree_digest(spark, d):
 @query("SELECT url AS path, CASE WHEN page_id % 11 = 0 THEN 'missing' ELSE 'changed' END AS reason FROM pages WHERE page_id % 11 = 0 OR page_id % 7 = 0")
 def verify_hashes(spark, d):
     pages = table(spark, d, "pages")
-    recorded = pages.select(F.col("url").alias("path"), F.when(F.col("page_id") % 7 == 0, "0").otherwise(F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)).alias("sha256"))
-    return E.verify_hashes(recorded, E.content_hashes(pages.filter("page_id % 11 <> 0"), "url", "html"))
+    recorded = pages.select("page_id", F.col("url").alias("path"), F.when(F.col("page_id") % 7 == 0, "0").otherwise(F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)).alias("sha256"))
+    there = pages.filter(F.coalesce(F.col("page_id") % 11 != 0, F.lit(True)))
+    return E.verify_hashes(recorded, E.content_hashes(there, "url", "html", ["page_id"]), ["page_id", "path"]).select("path", "reason")
 
 
 @query("""WITH r AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE 'abc' END AS commit_id, CASE WHEN c_custkey % 60 = 9 THEN 'sync' ELSE 'git' END AS source, 'v3' AS preprocessing, c_nationkey::VARCHAR AS evaluation FROM customer),
