@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The naming conventions of the release.
@@ -29,18 +29,22 @@ def folder_series(folders: DataFrame) -> DataFrame:
     number. A name of neither kind has no row. A core has as many entries as a
     patient has views or crops, so a row stays small.
     """
+    rows = series_names(folders)
+    return rows.groupBy("core", "bare").agg(F.min_by("name", "suffix").alias("lowest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("suffix", "name")))).alias("series"))
+
+
+def series_names(folders: DataFrame) -> DataFrame:
+    """core, bare, suffix, name, one row a number of a core: the entries of ``folder_series``."""
     name = F.col("name")
     plain, bare = F.rlike(name, F.lit(SERIES)), F.rlike(name, F.lit(BARE))
-    pattern = F.when(plain, F.lit(SERIES)).when(bare, F.lit(BARE))
     suffix = F.regexp_extract(name, SERIES, 2)
     bare_suffix = F.regexp_extract(name, BARE, 2)
-    rows = folders.select("name").distinct().filter(pattern.isNotNull()).select(
+    rows = folders.select("name").filter(plain | bare).select(
         "name", (~plain).alias("bare"), F.when(plain, F.regexp_extract(name, SERIES, 1)).otherwise(F.regexp_extract(name, BARE, 1)).alias("core"),
         F.when(plain, suffix).otherwise(F.when(bare_suffix == "", "0").otherwise(bare_suffix)).cast("bigint").alias("suffix"),
     )
     # of names with one suffix, such as 1 and 01, the last stays
-    rows = rows.groupBy("core", "bare", "suffix").agg(F.max("name").alias("name"))
-    return rows.groupBy("core", "bare").agg(F.min_by("name", "suffix").alias("lowest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("suffix", "name")))).alias("series"))
+    return rows.groupBy("core", "bare", "suffix").agg(F.max("name").alias("name"))
 
 
 def bare_core(path: Column) -> Column:
@@ -73,12 +77,16 @@ def best_images(resolved: DataFrame, folders: DataFrame, files: DataFrame, ident
     mask. The best is the first that is no mask by falling area, then path; of
     masks alone the first.
     """
-    own = resolved.join(files, "folder").select(ident, path, F.col("path").alias("file"), "area", "n_values", F.lit(True).alias("own"))
-    bare = folder_series(folders).filter("bare").select(F.col("core").alias("__bare"), F.explode(F.map_values("series")).alias("folder")).join(files, "folder")
-    more = resolved.withColumn("__bare", bare_core(F.col(f"`{path}`"))).join(bare.select("__bare", F.col("path").alias("file"), "area", "n_values"), "__bare").select(ident, path, "file", "area", "n_values", F.lit(False).alias("own"))
-    place = F.struct(F.col("n_values") <= 2, -F.col("area"), F.col("file"))
-    found = own.unionByName(more).groupBy(ident).agg(F.count_if("own").alias("n"), F.min(F.when(F.col("own"), F.col("file"))).alias("only"), F.min_by("file", place).alias("best"))
-    return resolved.select(ident).join(found, ident, "left").select(ident, F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("best")).alias("image"))
+    place = F.struct((F.col("n_values") <= 2).alias("mask"), (-F.col("area")).alias("area"), F.col("path").alias("file"))
+    held = files.groupBy("folder").agg(F.count(F.lit(1)).alias("__n"), F.min("path").alias("__only"), F.min(place).alias("__best"))
+    names = series_names(folders).filter("bare").select(F.col("core").alias("__bare"), F.col("name").alias("folder"))
+    bare = names.join(held.select("folder", "__best"), "folder").groupBy("__bare").agg(F.min("__best").alias("__more"))
+    # a folder and a view have one row each, so a row meets one row of each and is made once
+    rows = resolved.select(ident, "folder", bare_core(F.col(f"`{path}`")).alias("__bare")).join(held, "folder", "left").join(bare, "__bare", "left")
+    own = Window.partitionBy(ident)
+    best = F.min(F.least("__best", "__more")).over(own)["file"]
+    image = F.when(F.sum("__n").over(own) == 1, F.min("__only").over(own)).otherwise(best)
+    return rows.select(ident, F.when(F.col(ident).isNotNull(), image).alias("image"))
 
 
 def find_files(wanted: DataFrame, files: DataFrame, ident: str) -> DataFrame:

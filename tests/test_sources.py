@@ -142,3 +142,13 @@ def test_black_stripe(spark, dark, held, found):
     clean[at], mask[at] = 0.01, held
     df = spark.createDataFrame([(clean.tolist(), mask.tolist()), (None, None), ([], [])], "c array<array<double>>, m array<array<int>>")
     assert [r.s for r in df.select(R.black_stripe(F.col("c"), F.col("m"), 3).alias("s")).collect()] == [found, None, False]
+
+
+def test_best_images_resolves_once(spark):
+    rows = spark.createDataFrame([("a", "Calc-Test_P_1_L_CC_1/u/1.dcm"), ("a", "P_1_L_CC.dcm/u/1.dcm"), ("b", "gone/1.dcm"), (None, "P_1_L_CC.dcm/u/1.dcm")], "id string, csv string")
+    folders = spark.createDataFrame([("Calc-Test_P_1_L_CC_1",), ("P_1_L_CC.dcm",), ("P_1_L_CC_2.dcm",)], "name string")
+    files = spark.createDataFrame([("Calc-Test_P_1_L_CC_1", "x/1.dcm", 9, 200), ("P_1_L_CC.dcm", "y/1.dcm", 20, 2), ("P_1_L_CC_2.dcm", "z/1.dcm", 12, 200)], "folder string, path string, area int, n_values int")
+    got = P.best_images(P.resolve_folders(rows, folders, "csv"), folders, files, "id", "csv")
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", "z/1.dcm"), ("a", "z/1.dcm"), ("b", None), (None, None)]
+    # each use of the resolved rows would resolve them again
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
